@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from .bpe import op8_byte_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .langid import op9_language
+from .line_dedup import OP4_SQL, op4_line_dedup
+from .quality import op7_quality
 
 QUERIES = {
+    "op4_line_dedup": op4_line_dedup,
+    "op7_quality": op7_quality,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_language": op9_language,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op4_line_dedup": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
 }

@@ -7,9 +7,11 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .langid import op9_language
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .quality import op7_quality
+from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op4_line_dedup": op4_line_dedup,
+    "op6_warc": op6_warc,
     "op7_quality": op7_quality,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language": op9_language,
@@ -18,5 +20,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_line_dedup": OP4_SQL,
+    "op6_warc": OP6_SQL,
     "op10_exact_dedup": OP10_SQL,
 }

@@ -6,10 +6,12 @@ from .bpe import op8_byte_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .langid import op9_language
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .packing import op3_packing
 from .quality import op7_quality
 from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op6_warc": op6_warc,
     "op7_quality": op7_quality,

@@ -8,9 +8,11 @@ from .langid import op9_language
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .packing import op3_packing
 from .quality import op7_quality
+from .topk import OP1_SQL, op1_topk
 from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op6_warc": op6_warc,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_topk": OP1_SQL,
     "op4_line_dedup": OP4_SQL,
     "op6_warc": OP6_SQL,
     "op10_exact_dedup": OP10_SQL,

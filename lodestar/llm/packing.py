@@ -38,7 +38,7 @@ from .common import id_or_last, materialize, real_id, ship, slices, table
 
 CAPACITY, END_ID = 1024, 2
 GROUPS = 60  # few sizes: equal-cardinality groups of the large lengths
-SMALL = 1 / 3  # lengths up to this share of the capacity are small
+SMALL = (1 / 4, 1 / 3, 1 / 2)  # lengths up to this share of the capacity are small: the share with the fewest bins counts
 BLOCK = 100_000  # pieces of one length that are ranked in one salted block
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -190,11 +190,15 @@ class Runs:
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Runs (number of bins, [(length, pieces of it in each bin)]) that hold all pieces."""
+    """Runs (number of bins, [(length, pieces of it in each bin)]) that hold all pieces: the best plan of those for each share."""
+    return min((_plan(histogram, capacity, groups, share) for share in SMALL), key=lambda runs: sum(n for n, _ in runs))
+
+
+def _plan(histogram: dict[int, int], capacity: int, groups: int, share: float) -> list[tuple[int, list[tuple[int, int]]]]:
     runs = Runs(capacity)
     runs.add(histogram.get(capacity, 0), [(capacity, 1)])
     left = {n: c for n, c in histogram.items() if n < capacity and c}
-    large = {n: c for n, c in left.items() if n > capacity * SMALL}
+    large = {n: c for n, c in left.items() if n > capacity * share}
     supply = grouped(large, groups)
     if supply:
         sizes = np.array([g[0][0] for g in supply])

@@ -143,9 +143,11 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ship(docs.sparkSession)
     open_rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (crc_bucket(id_col, 4) != 2))
     ids = open_rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"))
-    top = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    sample = ids.join(F.broadcast(top), "lang").withColumn("nth", nth).where(F.col("nth") <= per_lang).select("id", "lang").distinct()
+    top = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    # of a frequent language, only small hashes reach the ranking: some four times as many rows as it keeps
+    small = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.greatest(F.lit(4.0 * per_lang), F.lit(100.0)) / F.col("n") * F.lit(float(1 << 30))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id"))
+    sample = ids.join(F.broadcast(top), "lang").where(small).withColumn("nth", nth).where(F.col("nth") <= per_lang).select("id", "lang").distinct()
     # at most MAX_LANGS * per_lang narrow rows: a bounded broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(sample), ["id", "lang"]).select("id", "lang", "text")
     features = texts.mapInArrow(_features_task, "one int, id long, lang string, x binary, v binary")

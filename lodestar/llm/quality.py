@@ -83,8 +83,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (crc_bucket(id_col, 3) != 1))
         .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("top")).where("label = top").drop("top")
     )
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    sample = known.withColumn("nth", nth).where(F.col("nth") <= per_class).select("id", "label")
+    sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"))  # two rows
+    # of a frequent label, only small hashes reach the ranking: some four times as many rows as it keeps
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    small = place < F.lit(4.0 * per_class + 100) / F.col("n") * F.lit(float(1 << 30))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(place, "id"))
+    sample = known.join(F.broadcast(sizes), "label").where(small).withColumn("nth", nth).where(F.col("nth") <= per_class).select("id", "label")
     # at most 2 * per_class narrow rows: a bounded broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "label", "text")
     features = texts.mapInArrow(_features_task, "one int, id long, label int, x binary")

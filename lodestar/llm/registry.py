@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op8_byte_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .langid import op9_language
+from .licenses import OP2_SQL, op2_licenses
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .packing import op3_packing
 from .quality import op7_quality
@@ -13,6 +14,7 @@ from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_topk": op1_topk,
+    "op2_licenses": op2_licenses,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op6_warc": op6_warc,
@@ -24,6 +26,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_topk": OP1_SQL,
+    "op2_licenses": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
     "op6_warc": OP6_SQL,
     "op10_exact_dedup": OP10_SQL,

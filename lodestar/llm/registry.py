@@ -7,6 +7,7 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .langid import op9_language
 from .licenses import OP2_SQL, op2_licenses
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .near_join import op5_near_join
 from .packing import op3_packing
 from .quality import op7_quality
 from .topk import OP1_SQL, op1_topk
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_near_join": op5_near_join,
     "op6_warc": op6_warc,
     "op7_quality": op7_quality,
     "op8_byte_bpe": op8_byte_bpe,

@@ -112,3 +112,35 @@ def unique(numbers: np.ndarray, bits: int) -> np.ndarray:
     places = np.arange(len(numbers))
     mark[numbers] = places
     return numbers[mark[numbers] == places]
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word, in order. Words are runs of letters, marks and digits, in lower case."""
+    t, out, at = tables(), [], 0
+    if "word" not in t:
+        t["word"] = np.array([unicodedata.category(chr(i))[0] in "LMN" for i in range(_TOP)] + [True])
+    while at < len(text):
+        c = code_points(text[at : at + _CHUNK])
+        inside = t["word"][c]
+        if at + len(c) < len(text) and len(gaps := np.flatnonzero(~inside)):
+            c, inside = c[: gaps[-1] + 1], inside[: gaps[-1] + 1]  # cut behind the last whole word
+        at += len(c)
+        starts = np.flatnonzero(inside & np.r_[True, ~inside[:-1]])
+        if not len(starts):
+            continue
+        place = np.arange(len(c)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(c)]))
+        value = np.where(inside, _mixed(t["lower"][c], place + 1), np.uint64(0))
+        out.append(np.add.reduceat(value, starts))
+    h = np.concatenate(out) if out else np.zeros(0, np.uint64)
+    h ^= h >> np.uint64(32)
+    return h * _MIX
+
+
+def shingles(words: np.ndarray, n: int = 5) -> np.ndarray:
+    """Distinct hashes of runs of n words, sorted; fewer words than n are one shingle."""
+    if not len(words):
+        return words
+    n = min(n, len(words))
+    h = _mixed(*(words[i : len(words) - n + 1 + i] for i in range(n)))
+    h ^= h >> np.uint64(31)
+    return np.unique(h)

@@ -1,0 +1 @@
+"""The dialect has no streaming constructs; this package is reserved for them."""

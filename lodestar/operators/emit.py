@@ -31,11 +31,15 @@ class Emitter:
 
     def __init__(self, catalog, strict: bool = False):
         self.catalog, self.strict = catalog, strict
+        self.guards: list[DataFrame] = []  # strict: rows that exist only to fail, as scalar subqueries are worked out in any case
 
     def result(self, query: Query) -> DataFrame:
         frame = self.emit(query.plan, None)
         order = [*frame.sort, *(F.col(o).asc_nulls_first() for o in frame.ords)]
-        df = frame.df.orderBy(*order) if order else frame.df
+        df = frame.df
+        for guard in self.guards:
+            df = df.union(guard.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields)))
+        df = df.orderBy(*order) if order else df
         return df.select(*(F.col(frame.outputs[o.name]).alias(o.name) for o in query.outputs))
 
     # --- nodes
@@ -260,6 +264,9 @@ class Emitter:
         found = [F.count(F.lit(1)).alias(n), F.max(output).alias(v)]
         if not sub.keys:
             one = sub.df.limit(2).agg(*found).select(F.when(F.col(n) > 1, failed).otherwise(F.col(v)).alias(name))
+            if self.strict:
+                # Catalyst drops a subquery below a constant condition; this keeps its error
+                self.guards.append(sub.df.limit(2).agg(F.count(F.lit(1)).alias(n)).where(F.when(F.col(n) > 1, failed).isNotNull()))
             return frame.with_df(frame.df.withColumn(name, one.scalar())), F.col(name)
         by = sub.df.groupBy(*sub.keys).agg(*found)
         joined = frame.df.join(by, self._matching(e.query, frame, sub), "left").drop(*sub.keys)

@@ -99,9 +99,10 @@ def slices(texts: list[str], most_chars: int) -> Iterator[tuple[int, int]]:
     """Index ranges of texts with about most_chars characters each (one text at least)."""
     start, size = 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > most_chars:
+        length = len(t or "")
+        if size and size + length > most_chars:
             yield start, i
             start, size = i, 0
-        size += len(t)
+        size += length
     if start < len(texts):
         yield start, len(texts)

@@ -115,7 +115,7 @@ def unique(numbers: np.ndarray, bits: int) -> np.ndarray:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, in order. Words are runs of letters, marks and digits, in lower case."""
+    """A 64-bit hash of each word, in order. Words are runs of letters, marks and digits, in lower case; a run longer than a chunk is cut."""
     t, out, at = tables(), [], 0
     if "word" not in t:
         t["word"] = np.array([unicodedata.category(chr(i))[0] in "LMN" for i in range(_TOP)] + [True])

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: White space that contracts name as [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: Rows of a written intermediate table that one task may hold at least.
+ROWS_PER_FILE = 50_000
 #: Internal stand-in for a null id: it sorts after every real id.
 NULL_ID = 2**63 - 1
 
@@ -55,9 +57,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read many: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write once, read many: cuts lineage and survives lost executors.
+
+    rows: about how many rows there may be, where the last step is a light one: it then runs in as many
+    tasks as files of ROWS_PER_FILE rows are needed, so that small tables are not many small files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -250,7 +250,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         text.alias("norm"),
     ).withColumn("digest", F.substring("sha", 1, digest_bytes))
     narrow = materialize(rows.drop("norm"), "digests")
-    entries = materialize(build_index(narrow, n_rows), "entries")
+    entries = materialize(build_index(narrow, n_rows), "entries", n_rows)
     several = entries.where("n > 1").select("digest", F.ceil(F.col("n") / VERIFY_BLOCK).cast("int").alias("salts"))
 
     single = narrow.join(several, "digest", "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
@@ -261,6 +261,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         hits.repartition("digest", "salt").sortWithinPartitions("digest", "salt")
         .mapInArrow(_verify_task, "digest binary, salt int, salts int, local int, leader string, id long, n_points long, sha binary"),
         "verified",
+        n_rows,
     )
     leaders = checked.where(F.col("leader").isNotNull()).select("digest", "salt", "local", "leader")
     agreed = leaders.groupBy("digest").applyInArrow(_agree_task, "digest binary, salt int, local int, variant int")

@@ -251,9 +251,10 @@ class LineIndex:
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         ship(docs.sparkSession)
         refs = materialize(_refs(docs, id_col, text_col), "line-refs")
-        n_shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-refs.count() // SHARD_KEYS))
+        n_refs = refs.count()
+        n_shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_refs // SHARD_KEYS))
         parts = refs.mapInArrow(_combine_task(n_shards), PART_SCHEMA)
-        return cls(refs, materialize(parts.groupBy("shard").applyInArrow(_first_insert_task, SHARD_SCHEMA), "line-shards"), n_shards)
+        return cls(refs, materialize(parts.groupBy("shard").applyInArrow(_first_insert_task, SHARD_SCHEMA), "line-shards", n_refs), n_shards)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """Add documents whose ids are not in the index yet."""

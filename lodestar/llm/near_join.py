@@ -278,15 +278,18 @@ def in_cells(df: DataFrame, key: str, count: Column, block: int) -> DataFrame:
     return dealt.withColumn("side", side).drop("blocks", "own", "other").repartition(key, "one", "two").sortWithinPartitions(key, "one", "two", "side", "digest")
 
 
-def connected(edges: DataFrame, name: str, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
-    """(node, part): the smallest node that edges connect a node to. Smallest labels spread over edges and along themselves."""
-    both = materialize(edges.select(a, b).unionByName(edges.select(F.col(b).alias(a), F.col(a).alias(b))).distinct(), f"{name}-edges")
-    labels = materialize(both.groupBy(F.col(a).alias("node")).agg(F.min(b).alias("m")).select("node", F.least("node", "m").alias("part")), f"{name}-labels")
+def connected(edges: DataFrame, name: str, rows: int, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+    """(node, part): the smallest node that edges connect a node to. Smallest labels spread over edges and along themselves.
+
+    rows: about how many nodes there may be.
+    """
+    both = materialize(edges.select(a, b).unionByName(edges.select(F.col(b).alias(a), F.col(a).alias(b))).distinct(), f"{name}-edges", rows)
+    labels = materialize(both.groupBy(F.col(a).alias("node")).agg(F.min(b).alias("m")).select("node", F.least("node", "m").alias("part")), f"{name}-labels", rows)
     for _ in range(most):
         near = both.join(labels.select(F.col("node").alias(b), "part"), b).groupBy(F.col(a).alias("node")).agg(F.min("part").alias("m"))
         spread = labels.join(near, "node").select("node", F.col("part").alias("was"), F.least("part", "m").alias("part"))
         up = labels.select(F.col("node").alias("part"), F.col("part").alias("upper"))
-        new = materialize(spread.join(up, "part", "left").select("node", "was", F.least("part", F.coalesce("upper", "part")).alias("part")), f"{name}-labels")
+        new = materialize(spread.join(up, "part", "left").select("node", "was", F.least("part", F.coalesce("upper", "part")).alias("part")), f"{name}-labels", rows)
         done = new.where("part <> was").limit(1).count() == 0
         labels = new.drop("was")
         if done:
@@ -299,21 +302,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     ship(docs.sparkSession)
     rows = docs.select(id_or_last(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = materialize(rows.mapInArrow(_sign_task(prefix_length(threshold, target=target)), "id long, digest binary, size int, mark binary, buckets array<long>"), "signed")
+    n_rows = signed.count()
     worded = signed.where(F.col("digest").isNotNull())
-    copies = materialize(worded.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("mark").alias("mark"), F.first("buckets").alias("buckets")), "texts")
+    copies = materialize(worded.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("mark").alias("mark"), F.first("buckets").alias("buckets")), "texts", n_rows)
 
     entries = copies.select("digest", F.explode("buckets").alias("bucket"))
     several = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = entries.join(several, "bucket").join(copies.select("digest", "size", "mark"), "digest")
     cells = in_cells(members, "bucket", F.col("n"), BLOCK * 4).select("bucket", "one", "two", "side", "digest", "size", "mark")
     maybe = cells.mapInArrow(_meet_task(threshold), "a binary, b binary").distinct()
-    parts = connected(maybe, "maybe")
+    parts = connected(maybe, "maybe", n_rows)
 
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     asked = parts.join(sizes, "part").withColumnRenamed("node", "digest").join(copies.select("digest", "rep", "copies"), "digest").withColumnRenamed("rep", "id")
     texts = in_cells(asked.join(rows, "id"), "part", F.col("n"), BLOCK).select("part", "one", "two", "side", "digest", "copies", "text")
     links = materialize(texts.mapInArrow(_verify_task(threshold), "digest binary, root binary, links long"), "links")
-    classes = connected(links.where("digest <> root"), "classes", "digest", "root")
+    classes = connected(links.where("digest <> root"), "classes", n_rows, "digest", "root")
 
     counted = links.groupBy("digest").agg(F.sum("links").alias("links"))
     nodes = copies.select("digest", "rep", "copies").join(counted, "digest", "left").join(classes.withColumnRenamed("node", "digest"), "digest", "left").withColumn("part", F.coalesce("part", "digest"))

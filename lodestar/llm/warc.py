@@ -174,7 +174,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     narrow = rows.select("page_id", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").alias("size")).where(F.col("size") >= LEAST_BYTES)
     first = narrow.groupBy("sha", "size").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = materialize(narrow.join(first, ["sha", "size"]).where("page_id is null or page_id <> keep").select("page_id", "sha", "keep").distinct(), "revisits")
+    again = materialize(narrow.join(first, ["sha", "size"]).where("page_id is null or page_id <> keep").select("page_id", "sha", "keep").distinct(), "revisits", pages.count())
     # a null page_id meets its revisit by the digest; null-safe on the id
     marked = rows.withColumn("sha", F.unhex(F.sha1("html"))).alias("p").join(
         again.alias("a"), F.col("p.page_id").eqNullSafe(F.col("a.page_id")) & (F.col("p.sha") == F.col("a.sha")), "left"

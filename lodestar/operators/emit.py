@@ -16,10 +16,11 @@ from pyspark.sql.window import Window
 
 from ..functions.exact import checked_sum, ordered, overflow
 from ..plans.algebra import (
-    BoolTree, Comparison, Distinct, ExistsQuery, Filter, Group, InQuery, IsNull, Join, Limit, Node, Project, Query, Ref, ScalarQuery, Scan, Sort, Windows,
+    INT64, BoolTree, Comparison, Distinct, ExistsQuery, Filter, Group, InQuery, IsNull, Join, Limit, Node, Project, Query, Ref, ScalarQuery, Scan, Sort, Windows,
     outer_refs, refs, subqueries,
 )
 from .frame import Frame, all_of, fresh, same
+from .running import running
 
 _COMPARE = {"=": operator.eq, "<>": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 _MOST_ROWS = 2**31 - 1
@@ -139,31 +140,53 @@ class Emitter:
 
     def _windows(self, node: Windows, base: Frame | None) -> Frame:
         frame = self.emit(node.input, base)
-        added = {}
+        names = {w: fresh() for w in node.windows}
+        alone: dict[tuple, list] = {}  # windows over one order of all rows, by their first order key
         for w in node.windows:
-            name = fresh()
-            frame = frame.with_df(self._window(frame, w, name))
-            added[0, "", w.name] = name
-        return replace(frame, cols=frame.cols | added)
+            if not frame.keys and self._in_one_group(w):
+                alone.setdefault((frame.physical(w.order[0][0]), w.order[0][1]), []).append(w)
+        shared = dict(list(alone.items())[:2])  # each of them reads its input anew
+        for (key, down), windows in shared.items():
+            parts = [(w, names[w], self._order(frame, w), None if w.argument is None else F.col(frame.physical(w.argument))) for w in windows]
+            frame = frame.with_df(running(frame.df, parts, F.col(key), down))
+        done = {w for windows in shared.values() for w in windows}
+        whole = [w for w in node.windows if self._over_everything(frame, w)]
+        if whole:  # one group: aggregates and their one row, instead of all rows in one task
+            calls = (self._call(w, None if w.argument is None else F.col(frame.physical(w.argument)), None).alias(names[w]) for w in whole)
+            frame = frame.with_df(frame.df.crossJoin(F.broadcast(frame.df.agg(*calls))))
+            done.update(whole)
+        for w in node.windows:
+            if w not in done:
+                frame = frame.with_df(self._window(frame, w, names[w]))
+        return replace(frame, cols=frame.cols | {(0, "", w.name): name for w, name in names.items()})
+
+    @staticmethod
+    def _in_one_group(w) -> bool:
+        """All rows in one order, by an integer first: buckets of the integer share the work."""
+        return not w.partition and bool(w.order) and w.order[0][0].type == INT64 and (w.frame != "PARTITION" or w.function in ("ROW_NUMBER", "RANK", "DENSE_RANK"))
+
+    @staticmethod
+    def _over_everything(frame: Frame, w) -> bool:
+        return not frame.keys and not w.partition and w.function not in ("ROW_NUMBER", "RANK", "DENSE_RANK") and (w.frame == "PARTITION" or (w.frame == "RANGE" and not w.order))
+
+    @staticmethod
+    def _order(frame: Frame, w) -> list[Column]:
+        """The order keys; where ties show, also the order of the rows, if it is kept."""
+        order = [ordered(F.col(frame.physical(k)), down) for k, down in w.order]
+        return order + [F.col(o).asc() for o in frame.ords] if w.function == "ROW_NUMBER" or (w.frame == "ROWS" and w.function not in ("RANK", "DENSE_RANK")) else order
 
     def _window(self, frame: Frame, w, name: str) -> DataFrame:
         parts = [F.col(c) for c in (*frame.keys, *map(frame.physical, w.partition))]
-        order = [ordered(F.col(frame.physical(k)), down) for k, down in w.order]
-        rows = [F.col(o).asc() for o in frame.ords]
+        by = self._order(frame, w)
         over = Window.partitionBy(*parts)
         v = None if w.argument is None else F.col(frame.physical(w.argument))
-        if w.function in ("RANK", "DENSE_RANK") and not order:
+        if w.function in ("RANK", "DENSE_RANK") and not w.order:
             return frame.df.withColumn(name, F.lit(1).cast("bigint"))
         if w.function in ("ROW_NUMBER", "RANK", "DENSE_RANK"):
-            by = order + rows if w.function == "ROW_NUMBER" else order
             call = {"ROW_NUMBER": F.row_number, "RANK": F.rank, "DENSE_RANK": F.dense_rank}[w.function]
             return frame.df.withColumn(name, call().over(over.orderBy(*(by or [F.lit(1)]))).cast("bigint"))
-        if w.frame == "PARTITION" or (w.frame == "RANGE" and not order):
-            if parts:
-                return frame.df.withColumn(name, self._call(w, v, over))
-            # one group: an aggregate and its one row, instead of all rows in one task
-            return frame.df.crossJoin(F.broadcast(frame.df.agg(self._call(w, v, None).alias(name))))
-        by = order + rows if w.frame == "ROWS" else order
+        if w.frame == "PARTITION" or (w.frame == "RANGE" and not w.order):
+            return frame.df.withColumn(name, self._call(w, v, over))
         over = over.orderBy(*(by or [F.lit(1)]))
         between = over.rowsBetween if w.frame == "ROWS" else over.rangeBetween
         return frame.df.withColumn(name, self._call(w, v, between(Window.unboundedPreceding, Window.currentRow)))

@@ -6,6 +6,7 @@ them, and descending NULLs are put first.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -170,21 +171,32 @@ FLAGSHIP = (
 DEFINED["flagship"] = (FLAGSHIP, FLAGSHIP.replace("SUM(l.quantity) AS quantity", "CAST(SUM(l.quantity) AS BIGINT) AS quantity"))
 
 
-def engine(spark: SparkSession, folder: str, strict_order: bool = False) -> Engine:
-    """An engine over a folder's tables and the views above."""
+#: The views as DataFrames: the table they read, and their columns.
+_VIEW_COLUMNS = {
+    "orders_n": ("orders", lambda: ["o_orderkey", F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("custkey"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("priority"), "o_orderstatus"]),
+    "customer_n": ("customer", lambda: ["c_custkey", F.when(F.col("c_custkey") % 11 != 0, F.col("c_nationkey")).alias("nationkey"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("segment")]),
+    "line_cents": ("lineitem", lambda: ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"), F.round("l_quantity").cast("bigint").alias("quantity")]),
+}
+
+
+def engine(spark: SparkSession, folder: str, strict_order: bool = False, only: set[str] | None = None) -> Engine:
+    """An engine over a folder's tables and the views above; only: names of those that are wanted."""
+    wanted = [n for n in [*TABLES, *_VIEW_COLUMNS] if only is None or n in only]
+    base = {_VIEW_COLUMNS[n][0] if n in _VIEW_COLUMNS else n for n in wanted}
+    tables = parquet_tables(spark, folder, [n for n in TABLES if n in base])
     out = Engine(spark, strict_order)
-    tables = parquet_tables(spark, folder, TABLES)
-    for name, df in tables.items():
-        out.register(name, df)
-    o, c, li = tables["orders"], tables["customer"], tables["lineitem"]
-    out.register("orders_n", o.select("o_orderkey", F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("custkey"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("priority"), "o_orderstatus"))
-    out.register("customer_n", c.select("c_custkey", F.when(F.col("c_custkey") % 11 != 0, F.col("c_nationkey")).alias("nationkey"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("segment")))
-    out.register("line_cents", li.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"), F.round("l_quantity").cast("bigint").alias("quantity")))
+    for name in wanted:
+        if name in _VIEW_COLUMNS:
+            table, columns = _VIEW_COLUMNS[name]
+            out.register(name, tables[table].select(*columns()))
+        else:
+            out.register(name, tables[name])
     return out
 
 
 def _runner(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: engine(spark, folder).sql(sql)
+    names = set(re.findall(r"\w+", sql))
+    return lambda spark, folder: engine(spark, folder, only=names).sql(sql)
 
 
 QUERIES = {name: _runner(sql) for name, (sql, _) in DEFINED.items()}

@@ -270,7 +270,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.min(F.struct((-F.col("n_points")).alias("shorter"), F.col("id").alias("keep_id"))).alias("best"), F.count(F.lit(1)).alias("group_size")
     )
     nth = F.row_number().over(Window.partitionBy("digest", "variant", "id").orderBy(F.desc("n_points")))
-    several_rows = variants.withColumn("nth", nth).join(best, ["digest", "variant"]).select(
+    # one copy of a group's result for each of its salted blocks, so that a large group isn't joined in one task
+    spread = best.join(several, "digest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    several_rows = variants.withColumn("nth", nth).join(spread, ["digest", "variant", "salt"]).select(
         "id", F.col("best.keep_id").alias("keep_id"), "group_size", ((F.col("id") == F.col("best.keep_id")) & (F.col("nth") == 1)).alias("kept"), "sha"
     )
     return single.unionByName(several_rows).select(

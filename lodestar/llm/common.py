@@ -45,14 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path for one written table or archive set, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    atexit.register(_delete, at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _delete(store, at) -> None:
     try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        store.delete(at, True)
     except Exception:  # the JVM may be gone already; the folder is then the cluster's to clear
         pass
 

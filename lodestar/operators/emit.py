@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exact import checked_sum, ordered, overflow
+from ..functions.exact import checked_sum, halves, ordered, overflow, whole
 from ..plans.algebra import (
     INT64, BoolTree, Comparison, Distinct, ExistsQuery, Filter, Group, InQuery, IsNull, Join, Limit, Node, Project, Query, Ref, ScalarQuery, Scan, Sort, Windows,
     outer_refs, refs, subqueries,
@@ -91,7 +91,10 @@ class Emitter:
         return self.filtered(self.emit(node.input, base), node.predicates)
 
     def _group(self, node: Group, base: Frame | None) -> Frame:
-        frame = self.emit(node.input, base)
+        out = self._grouped(self.emit(node.input, base), node)
+        return out if base is None or node.keys else self._with_empty_groups(out, node, base)
+
+    def _grouped(self, frame: Frame, node: Group) -> Frame:
         by = {k: fresh() for k in frame.keys}
         named = {r.key: fresh() for r in node.keys}
         calls = {a.name: fresh() for a in node.aggregates}
@@ -119,12 +122,14 @@ class Emitter:
         else:
             df = df.select(*groups).distinct()
         cols = {k: by.get(p, p) for k, p in frame.cols.items() if p in by} | named | {(0, "", n): c for n, c in calls.items()}
-        out = Frame(df, cols, tuple(by.values()), ords)
-        if base is None or node.keys:
-            return out
-        # a global aggregate has a row for each outer value, even where no row came in
+        return Frame(df, cols, tuple(by.values()), ords)
+
+    @staticmethod
+    def _with_empty_groups(out: Frame, node: Group, base: Frame) -> Frame:
+        """A global aggregate has a row for each outer value, even where no row came in."""
+        calls = {a.name: out.cols[0, "", a.name] for a in node.aggregates}
         outer = base.renamed()
-        df = outer.df.join(df, all_of(same(a, b) for a, b in zip(outer.keys, out.keys)), "left")
+        df = outer.df.join(out.df, all_of(same(a, b) for a, b in zip(outer.keys, out.keys)), "left")
         counts = {a.name for a in node.aggregates if a.function == "COUNT"}
         df = df.select(*outer.keys, *(F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) if n in counts else F.col(c) for n, c in calls.items()))
         return Frame(df, outer.cols | {(0, "", n): c for n, c in calls.items()}, outer.keys)
@@ -141,14 +146,15 @@ class Emitter:
     def _windows(self, node: Windows, base: Frame | None) -> Frame:
         frame = self.emit(node.input, base)
         names = {w: fresh() for w in node.windows}
-        alone: dict[tuple, list] = {}  # windows over one order of all rows, by their first order key
+        alone: dict[str, list] = {}  # windows over one order of all rows, by their first order key
         for w in node.windows:
             if not frame.keys and self._in_one_group(w):
-                alone.setdefault((frame.physical(w.order[0][0]), w.order[0][1]), []).append(w)
+                alone.setdefault(frame.physical(w.order[0][0]), []).append(w)
         shared = dict(list(alone.items())[:2])  # each of them reads its input anew
-        for (key, down), windows in shared.items():
+        source = frame.df
+        for key, windows in shared.items():
             parts = [(w, names[w], self._order(frame, w), None if w.argument is None else F.col(frame.physical(w.argument))) for w in windows]
-            frame = frame.with_df(running(frame.df, parts, F.col(key), down))
+            frame = frame.with_df(running(frame.df, source, parts, F.col(key)))
         done = {w for windows in shared.values() for w in windows}
         whole = [w for w in node.windows if self._over_everything(frame, w)]
         if whole:  # one group: aggregates and their one row, instead of all rows in one task
@@ -278,6 +284,9 @@ class Emitter:
     def _operand(self, e, frame: Frame) -> tuple[Frame, Column]:
         if not isinstance(e, ScalarQuery):
             return frame, frame.value(e)
+        looked_up = self._lookup(e.query, frame)
+        if looked_up is not None:
+            return looked_up
         sub = self._worked_out(e.query, frame)
         name, n, v = fresh(), fresh(), fresh()
         output = sub.outputs[e.query.outputs[0].name]
@@ -295,6 +304,45 @@ class Emitter:
         joined = frame.df.join(by, self._matching(e.query, frame, sub), "left").drop(*sub.keys)
         return frame.with_df(joined), F.when(F.col(n) > 1, failed).otherwise(F.col(v))
 
+    def _lookup(self, query: Query, frame: Frame) -> tuple[Frame, Column] | None:
+        """One aggregate over rows whose columns equal outer ones: grouped by those columns once, and looked up."""
+        project = query.plan
+        if not query.correlations or not isinstance(project, Project) or not isinstance(project.input, Group) or project.input.keys:
+            return None
+        group, output = project.input, project.outputs[0].value
+        call = next((a for a in group.aggregates if isinstance(output, Ref) and output.key == (0, "", a.name)), None)
+        node, predicates = group.input, []
+        while isinstance(node, Filter):
+            predicates += node.predicates
+            node = node.input
+        if call is None or outer_refs(node) or (call.argument is not None and call.argument.depth):
+            return None
+        dependent = [p for p in predicates if any(r.depth for r in refs(p))]
+        pairs = []
+        for p in dependent:
+            sides = (p.left, p.right) if isinstance(p, Comparison) and p.op == "=" else ()
+            inner = [x for x in sides if isinstance(x, Ref) and not x.depth]
+            outer = [x for x in sides if isinstance(x, Ref) and x.depth]
+            if len(inner) != 1 or len(outer) != 1:
+                return None
+            pairs.append((inner[0], outer[0]))
+        if call.function == "SUM" and frame.ords:
+            return None  # sums in row order are checked for the outer rows that ask for them only
+        rows = self.filtered(self.emit(node, None), [p for p in predicates if p not in dependent])
+        keys = [fresh() for _ in pairs]
+        v = None if call.argument is None else F.col(rows.physical(call.argument))
+        parts = [fresh() for _ in range(2 if call.function == "SUM" else 1)]
+        held = {"SUM": lambda: [F.sum(x) for x in halves(v)], "COUNT": lambda: [F.count(F.lit(1) if v is None else v)], "MIN": lambda: [F.min(v)], "MAX": lambda: [F.max(v)]}
+        named = [F.col(rows.physical(r)).alias(k) for (r, _), k in zip(pairs, keys)]
+        found = rows.df.groupBy(*named).agg(*(x.alias(p) for x, p in zip(held[call.function](), parts)))
+        on = all_of(F.col(frame.physical(_inward(r))) == F.col(k) for k, (_, r) in zip(keys, pairs))
+        joined = frame.df.join(found, on, "left").drop(*keys)
+        if call.function == "SUM":
+            out = whole(F.col(parts[0]), F.col(parts[1]), call.name)
+        else:
+            out = F.coalesce(F.col(parts[0]), F.lit(0).cast("bigint")) if call.function == "COUNT" else F.col(parts[0])
+        return frame.with_df(joined), out
+
     # --- subqueries
 
     def _worked_out(self, query: Query, frame: Frame) -> Frame:

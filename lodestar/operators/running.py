@@ -17,23 +17,25 @@ from .frame import fresh
 BUCKETS = 512
 
 
-def bucketed(df: DataFrame, key: Column, descending: bool, name: str) -> DataFrame:
-    """df with a bucket number that follows the order of key, NULL being the largest."""
+def bucketed(df: DataFrame, source: DataFrame, key: Column, name: str) -> DataFrame:
+    """df with a bucket number that rises with key, NULL being the largest. source has the same keys."""
     low, high = fresh(), fresh()
-    ends = df.agg(F.min(key).cast("double").alias(low), F.max(key).cast("double").alias(high))  # one row
+    ends = source.agg(F.min(key).cast("double").alias(low), F.max(key).cast("double").alias(high))  # one row
     share = (key.cast("double") - F.col(low)) / F.greatest(F.col(high) - F.col(low), F.lit(1.0))
     place = F.coalesce(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)), F.lit(BUCKETS)).cast("int")
-    return df.crossJoin(F.broadcast(ends)).withColumn(name, F.lit(BUCKETS) - place if descending else place).drop(low, high)
+    return df.crossJoin(F.broadcast(ends)).withColumn(name, place).drop(low, high)
 
 
-def running(df: DataFrame, windows: list[tuple], key: Column, descending: bool) -> DataFrame:
-    """df with the values of windows that all have key as their first order key.
+def running(df: DataFrame, source: DataFrame, windows: list[tuple], key: Column) -> DataFrame:
+    """df with the values of windows that all have key as their first order key, in either direction.
 
-    windows: (window, column for its values, all its order keys, its argument).
+    windows: (window, column for its values, all its order keys, its argument); source: where key comes from.
     """
     bucket, own = fresh(), fresh()
-    dealt = bucketed(df, key, descending, bucket)
-    steps: dict[str, tuple] = {}  # column: (what a bucket adds to those behind it, how buckets are put together)
+    dealt = bucketed(df, source, key, bucket)
+    # buckets that come earlier; there are BUCKETS + 1 at most
+    earlier = {down: Window.orderBy(F.desc(own) if down else F.asc(own)).rowsBetween(Window.unboundedPreceding, -1) for down in (False, True)}
+    steps: dict[str, tuple] = {}  # column: (what a bucket adds to those behind it, those before it put together)
     used: list[list[str]] = []
     for w, _, order, v in windows:
         over = Window.partitionBy(bucket).orderBy(*order)
@@ -52,12 +54,11 @@ def running(df: DataFrame, windows: list[tuple], key: Column, descending: bool)
             own_steps = {fresh(): (extreme(v).over(frame), extreme(v), extreme)}
         for column, (value, held, together) in own_steps.items():
             dealt = dealt.withColumn(column, value)
-            steps[column] = held, together
+            steps[column] = held, together(column).over(earlier[w.order[0][1]])
         used.append(list(own_steps))
     sizes = dealt.groupBy(F.col(bucket).alias(own)).agg(*(held.alias(column) for column, (held, _) in steps.items()))
-    earlier = Window.orderBy(own).rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS + 1 rows at most
     before = {column: fresh() for column in steps}
-    offsets = sizes.select(own, *(together(column).over(earlier).alias(before[column]) for column, (_, together) in steps.items()))
+    offsets = sizes.select(own, *(sofar.alias(before[column]) for column, (_, sofar) in steps.items()))
     joined = dealt.join(F.broadcast(offsets), F.col(bucket) == F.col(own))
     for (w, name, _, _), columns in zip(windows, used):
         here, there = [F.col(c) for c in columns], [F.col(before[c]) for c in columns]

@@ -148,7 +148,7 @@ class Emitter:
         names = {w: fresh() for w in node.windows}
         alone: dict[str, list] = {}  # windows over one order of all rows, by their first order key
         for w in node.windows:
-            if not frame.keys and self._in_one_group(w):
+            if not frame.keys and self._in_one_group(w) and not self._summed_in_order(frame, w):
                 alone.setdefault(frame.physical(w.order[0][0]), []).append(w)
         shared = dict(list(alone.items())[:2])  # each of them reads its input anew
         source = frame.df
@@ -172,7 +172,25 @@ class Emitter:
         return not w.partition and bool(w.order) and w.order[0][0].type == INT64 and (w.frame != "PARTITION" or w.function in ("ROW_NUMBER", "RANK", "DENSE_RANK"))
 
     @staticmethod
-    def _over_everything(frame: Frame, w) -> bool:
+    def _summed_in_order(frame: Frame, w) -> bool:
+        """A sum of which only some totals show, while its rows' order is kept."""
+        return bool(frame.ords) and w.function == "SUM" and w.frame != "ROWS"
+
+    def _window_sum_in_order(self, frame: Frame, w, name: str, parts: list[Column], v: Column) -> DataFrame:
+        """A sum that fails where a running total leaves the 64 bits: in row order, or among peers in the argument's order."""
+        step, order = fresh(), [ordered(F.col(frame.physical(k)), down) for k, down in w.order]
+        ranged = w.frame == "RANGE" and bool(order)
+        first = [*order, v.asc_nulls_last()] if ranged else [F.col(o).asc() for o in frame.ords]
+        up_to_here = (Window.unboundedPreceding, Window.currentRow)
+        totals = F.sum(v.cast("decimal(38,0)")).over(Window.partitionBy(*parts).orderBy(*first).rowsBetween(*up_to_here))
+        shown = Window.partitionBy(*parts).orderBy(*order).rangeBetween(*up_to_here) if ranged else Window.partitionBy(*parts)
+        bad = (F.max(step).over(shown) > F.lit(_MAX)) | (F.min(step).over(shown) < F.lit(_MIN))
+        out = F.when(bad, overflow(w.name)).otherwise(checked_sum(v, w.name, shown))
+        return frame.df.withColumn(step, totals).withColumn(name, out).drop(step)
+
+    def _over_everything(self, frame: Frame, w) -> bool:
+        if self._summed_in_order(frame, w):
+            return False
         return not frame.keys and not w.partition and w.function not in ("ROW_NUMBER", "RANK", "DENSE_RANK") and (w.frame == "PARTITION" or (w.frame == "RANGE" and not w.order))
 
     @staticmethod
@@ -191,6 +209,8 @@ class Emitter:
         if w.function in ("ROW_NUMBER", "RANK", "DENSE_RANK"):
             call = {"ROW_NUMBER": F.row_number, "RANK": F.rank, "DENSE_RANK": F.dense_rank}[w.function]
             return frame.df.withColumn(name, call().over(over.orderBy(*(by or [F.lit(1)]))).cast("bigint"))
+        if self._summed_in_order(frame, w):
+            return self._window_sum_in_order(frame, w, name, parts, v)
         if w.frame == "PARTITION" or (w.frame == "RANGE" and not w.order):
             return frame.df.withColumn(name, self._call(w, v, over))
         over = over.orderBy(*(by or [F.lit(1)]))

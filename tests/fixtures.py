@@ -16,6 +16,7 @@ TABLES = {
     "overflow": ("v bigint", [(BIG,), (1,)]),
     "cancel": ("v bigint", [(BIG,), (1,), (-5,)]),
     "range_cancel": ("k bigint, v bigint", [(0, BIG), (1, 1), (1, -1)]),
+    "dips": ("k bigint, v bigint", [(0, -BIG), (1, 5), (1, -9)]),
     "strings": ("s string", [("beta",), ("",), (None,), ("alpha",), ("a'b",)]),
     "string_left": ("k string, v bigint", [("a", 1), (None, 2), ("b", 3), ("a", 4)]),
     "string_right": ("k string, w bigint", [(None, 10), ("a", 11), ("c", 12), ("a", 13)]),

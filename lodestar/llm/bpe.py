@@ -43,6 +43,8 @@ class PrefixEncoder:
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.split = self._splits()
+        #: Tokens that the merges can give; a vocabulary may hold others.
+        self.valid = {t: i for t, i in ranks.items() if len(t) == 1 or i in self.split}
         self._pairs: dict[tuple[int, int], bool] = {}
         self._prefix: dict[bytes, int] = {b"": -1}
 
@@ -101,12 +103,9 @@ class PrefixEncoder:
 
     def last_token(self, piece: bytes, end: int, last: list[int]) -> int:
         """The valid last token of piece[:end]; last[i] is that of piece[:i]."""
-        ranks = self.ranks
         for start in range(max(0, end - self.longest), end):
-            token = ranks.get(piece[start:end])
-            if token is None:
-                continue
-            if (start == 0 or self.fits(last[start], token)) and (len(piece[start:end]) == 1 or token in self.split):
+            token = self.valid.get(piece[start:end])
+            if token is not None and (start == 0 or self.fits(last[start], token)):
                 return token
         raise ValueError(f"a byte has no token: {piece[end - 1 : end]!r}")
 
@@ -131,22 +130,40 @@ class PrefixEncoder:
         return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
-        """Tokens of a piece; the memo of prefixes supplies what an earlier piece began with."""
-        memo, last, n = self._prefix, [-1], len(piece)
-        if n <= 64:
-            end = 1
-            while end <= n and (known := memo.get(piece[:end])) is not None:
-                last.append(known)
-                end += 1
-            if len(memo) > MEMO_PREFIXES:
-                memo.clear()
-            for end in range(end, n + 1):
-                token = self.last_token(piece, end, last)
-                last.append(token)
-                memo[piece[:end]] = token
-        else:
-            self.prefixes(piece, last)
-        return self.read_back(piece, last)
+        """Tokens of a piece. The memo supplies the last tokens of the longest prefix that an earlier piece had."""
+        memo, n = self._prefix, len(piece)
+        if n > 64:
+            return self.read_back(piece, self.prefixes(piece))
+        if len(memo) > MEMO_PREFIXES:
+            memo.clear()
+            memo[b""] = -1
+        valid, pairs, fits, longest = self.valid.get, self._pairs.get, self.fits, self.longest
+        known = n
+        while piece[:known] not in memo:  # what is shorter than a known prefix is known, too
+            known -= 1
+        tokens, token = self.tokens, memo[piece[:known]]
+        for end in range(known + 1, n + 1):
+            # there is one valid last token, so any order of trying finds it: first the last one before, made longer
+            first = end - 1 - len(tokens[token]) if end > 1 else 0
+            for start in (first, *range(max(0, end - longest), end)):
+                token = valid(piece[start:end])
+                if token is None:
+                    continue
+                if not start:
+                    break
+                left = memo[piece[:start]]
+                fit = pairs((left, token))
+                if fits(left, token) if fit is None else fit:
+                    break
+            else:
+                raise ValueError(f"a byte has no token: {piece[end - 1 : end]!r}")
+            memo[piece[:end]] = token
+        out, end = [], n
+        while end:
+            token = memo[piece[:end]]
+            out.append(token)
+            end -= len(tokens[token])
+        return out[::-1]
 
 
 class BytePairCodec:
@@ -158,12 +175,13 @@ class BytePairCodec:
         self.encoder = PrefixEncoder(ranks)
         self.find = regex.compile(pattern).findall
 
+        packed = {i: i.to_bytes(4, "little") for i in self.encoder.tokens}
+
         class Memo(dict):
             def __missing__(memo, piece: str) -> bytes:
                 if len(memo) >= MEMO_PIECES:
                     memo.clear()
-                ids = self.encoder.encode(piece.encode("utf-8"))
-                out = memo[piece] = b"".join(i.to_bytes(4, "little") for i in ids)
+                out = memo[piece] = b"".join(map(packed.__getitem__, self.encoder.encode(piece.encode("utf-8"))))
                 return out
 
         self.memo = Memo()

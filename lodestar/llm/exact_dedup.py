@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ASCII_SPACE, NULL_ID, id_or_last, materialize, real_id, ship
+from .common import ASCII_SPACE, id_or_last, materialize, real_id, ship
 
 MEMTABLE_ENTRIES = 100_000  # entries of a map task's memtable before it is flushed
 SHARD_ROWS = 200_000  # rows a shard's index is planned for

@@ -21,7 +21,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 VIEWS = {
     "orders_n": "SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey END AS custkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS priority, o_orderstatus FROM orders",
     "customer_n": "SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_nationkey END AS nationkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer",
-    "line_cents": "SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_partkey, l_suppkey, CAST(ROUND(l_extendedprice * 100) AS BIGINT) AS cents, CAST(ROUND(l_quantity) AS BIGINT) AS quantity FROM lineitem",
+    "line_cents": "SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_partkey, l_suppkey, CAST(FLOOR(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents, CAST(FLOOR(l_quantity + 0.5) AS BIGINT) AS quantity FROM lineitem",
 }
 
 _WITH = "WITH " + ", ".join(f"{name} AS ({body})" for name, body in VIEWS.items()) + " "
@@ -175,7 +175,7 @@ DEFINED["flagship"] = (FLAGSHIP, FLAGSHIP.replace("SUM(l.quantity) AS quantity",
 _VIEW_COLUMNS = {
     "orders_n": ("orders", lambda: ["o_orderkey", F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("custkey"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("priority"), "o_orderstatus"]),
     "customer_n": ("customer", lambda: ["c_custkey", F.when(F.col("c_custkey") % 11 != 0, F.col("c_nationkey")).alias("nationkey"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("segment")]),
-    "line_cents": ("lineitem", lambda: ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"), F.round("l_quantity").cast("bigint").alias("quantity")]),
+    "line_cents": ("lineitem", lambda: ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey", F.floor(F.col("l_extendedprice") * 100 + 0.5).alias("cents"), F.floor(F.col("l_quantity") + 0.5).alias("quantity")]),
 }
 
 

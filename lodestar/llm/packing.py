@@ -16,7 +16,9 @@ Bins with the same content are one run of the plan, so its size does not follow
 among those of its length, computed over salted blocks, then says in which bin it lies and where.
 
 Ids: those of the ``tokenizers`` vocabulary file, by a faster engine over the same vocabulary and merges
-(tests compare both); the strings of special tokens are ordinary text. Each document ends in ``end_id``.
+(tests compare both). ``encode_special_tokens`` is that library's switch: false, as in the library and in
+the registered query, the strings of the file's added tokens are those tokens' ids; true, they are ordinary
+text. Each document ends in ``end_id``.
 
 Defined results: a null text is an empty one and gives one piece of the end id; a null doc_id sorts after
 all others; rows that repeat a doc_id are packed as documents of their own; an empty table gives no rows;
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +58,14 @@ def engine(path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab, added = file["model"]["vocab"], file.get("added_tokens") or []
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: added tokens that match more or less than their own text")
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(visible))}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and not (token.startswith("<|") and token.endswith("|>"))}
-        _engines[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _engines[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
     return _engines[path]
 
 
@@ -69,12 +75,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, encode_special_tokens: bool = True) -> DataFrame:
     """Token pieces of all documents: doc_id, piece, start, length, ids_crc32."""
     ship(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = engine(path).encode_ordinary
+        own = engine(path)
+        encode = own.encode_ordinary if encode_special_tokens else partial(own.encode, allowed_special="all")
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in slices(texts, 1 << 22):
@@ -284,12 +291,12 @@ def pack(token_pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS
     return placed.mapInArrow(task, PIECE_SCHEMA + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    cut_up = materialize(pieces(docs, path, id_col, text_col, capacity), "pieces")
+def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, encode_special_tokens: bool = True) -> DataFrame:
+    cut_up = materialize(pieces(docs, path, id_col, text_col, capacity, encode_special_tokens=encode_special_tokens), "pieces")
     return pack(cut_up, capacity).withColumn("doc_id", real_id("doc_id")).withColumnRenamed("doc_id", id_col)
 
 
 def op3_packing(spark, sf_dir) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), encode_special_tokens=False)

@@ -292,6 +292,26 @@ def test_packing(docs, nothing, public, monkeypatch):
     assert packing.pack_documents(nothing, path).collect() == []
 
 
+@pytest.mark.parametrize("last_stage", [False, True])
+def test_packing_of_added_tokens(spark, public, tmp_path, last_stage):
+    """The query's and the pipeline's ids are those of an unchanged tokenizer, which finds its added tokens in texts."""
+    import corpus_pipeline
+
+    tokenizers = pytest.importorskip("tokenizers")
+    truth = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = ["end of page <|endoftext|> next", end, end * 3, f"a{end}b", f"  {end}\n\n{end}  ", "<|endoftext|", f"<|{end}|>", f"x{end.upper()}", f"{words(1500, 7)}{end}{words(900, 8)}", "plain", ""]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows_of(corpus_pipeline.packing(spark, docs, str(tmp_path)) if last_stage else packing.op3_packing(spark, str(tmp_path)))
+    want = Counter()
+    for i, t in enumerate(texts):
+        ids = np.array(truth.encode(t, add_special_tokens=False).ids + [2], dtype="<u4")
+        for k, (s, n) in enumerate(packing.cut(len(ids), 1024)):
+            want[i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+
+
 # --- op7 and op9
 
 

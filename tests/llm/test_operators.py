@@ -456,6 +456,67 @@ def test_licenses(spark, docs, nothing, clashing):
     assert {r.licence for r in licenses.license_scan(df, {}).collect()} == {None}
 
 
+def brute_spans(text, templates, threshold=0.8):
+    """Every span of words against every template; of those that overlap, the one that shares most stays."""
+    where = [(w, n) for n, line in enumerate((text or "").split("\n"), 1) for w in re.split(r"[^\w]+|_", "".join(c.lower() if c.isascii() else c for c in line)) if w]
+    grams = [(a[0], b[0]) for a, b in zip(where, where[1:])]
+
+    def apart(spans):
+        kept = []
+        for s in sorted(spans):
+            if all(k[3] > s[4] + 1 or s[3] > k[4] + 1 for k in kept):
+                kept.append(s)
+        return kept
+
+    spans = []
+    for name, body in templates.items():
+        t = licenses.words_of(body)
+        other, own = Counter(zip(t, t[1:])), []
+        for first in range(len(grams)):
+            seen, shared = Counter(), 0
+            for last in range(first, len(grams)):
+                seen[grams[last]] += 1
+                shared += seen[grams[last]] <= other[grams[last]]
+                score = 2 * shared / (last - first + 1 + other.total())
+                if score >= threshold:
+                    own.append((0, -score, name, first, last, shared))
+        spans += [(-x[5], *x[1:5]) for x in apart(own)]
+    best = {}
+    for _, worse, name, first, last in apart(spans):
+        line = 0 if (first, last) == (0, len(grams) - 1) else where[first][1]
+        best[name] = min(best.get(name, (worse, line)), (worse, line))
+    return {(name, -worse, line) for name, (worse, line) in best.items()} or {(None, 0.0, None)}
+
+
+def wrapped(text, width=9, mark="# "):
+    w = text.split()
+    return "\n".join(mark + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+
+def test_license_spans(spark, docs, nothing, clashing, tmp_path):
+    t = licenses.TEMPLATES
+    code = "\nimport os\n" + words(300, 21) + "\n"
+    texts = [
+        code + wrapped(t["Apache-2.0-header"]) + code, code + wrapped(t["GPL-3.0-header"].replace("program", "library"), 7, " * ") + code, f"{words(60, 22)} {t['MIT-notice']} {words(60, 23)}",
+        code + t["MIT-notice"] + code + t["CC-BY-NC-4.0-notice"] + code + wrapped(t["Zlib"]), t["LGPL-3.0-notice"] + code + t["GPL-3.0-notice"].replace("public", "open"), "Released under the MIT License. Released under the MIT License.",
+        t["GPL-3.0-notice"], "the software " * 300, t["MIT"] + " of the and" * 3, "Licensed under the", "license", "", None, wrapped(t["ISC"]).upper(),
+    ]
+    df = spark.createDataFrame([(i, x, None, None, None) for i, x in enumerate(texts)], DOCS)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = defaultdict(set)
+    for r in licenses.op2_licenses(spark, str(tmp_path)).collect():
+        assert r.doc_id is not None and (r.licence, r.score, r.line) not in got[r.doc_id]
+        got[r.doc_id].add((r.licence, r.score, r.line))
+    assert ("Apache-2.0-header", 1.0, 4) in got[0] and {x[0] for x in got[1]} == {"GPL-3.0-header"} and got[2] == {("MIT-notice", 1.0, 1)}
+    assert {x[0] for x in got[3]} == {"MIT-notice", "CC-BY-NC-4.0-notice", "Zlib"}
+    assert got == {i: brute_spans(x, t) for i, x in enumerate(texts)}
+    found = licenses.license_spans(docs)
+    assert Counter(r.doc_id for r in found.collect()) == Counter({r.doc_id for r in docs.collect()})
+    assert licenses.license_spans(nothing).collect() == []
+    assert licenses.license_spans(clashing).columns == ["doc_id", "licence", "score", "line"]
+    assert {r.licence for r in licenses.license_spans(df, {}).collect()} == {None}
+
+
 def test_size_bounds_lose_nothing():
     for m in (1, 4, 37, 200):
         low, high = licenses.size_bounds(m, 0.8)

@@ -5,7 +5,8 @@ chosen family, one-versus-one machines separate its languages. Features are hash
 the whole text, as relative frequencies under a square root.
 
 The fit takes at most ``PER_LANG`` documents of each language, those with the smallest hash of their id
-(a documented bound of the fit; prediction reads every row and whole texts).
+(a documented bound of the fit; prediction reads every row and whole texts). Every language is learned: the
+more pairs there are, the narrower the features are hashed, so that the model stays within ``WEIGHTS`` numbers.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; if no language can be
 learned, every text is ``und``; with one learned language every text with a letter is that one; a null
@@ -15,8 +16,10 @@ one; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -31,8 +34,9 @@ from .svm import fit_hinge
 from .text_features import has_letter, letter_grams
 
 BITS = 15
+LEAST_BITS = 8
 PER_LANG = 400  # documents of a language that the fit takes at most
-MAX_LANGS = 64  # languages learned at most, the most frequent ones: it bounds the model
+WEIGHTS = 2016 << BITS  # numbers of the model: the pairs of 64 languages without families at full width
 UNDETERMINED = "und"
 
 #: Families of languages by their codes; a code that is not here is a family of its own.
@@ -51,6 +55,17 @@ def family_of(lang: str, families: dict[str, tuple[str, ...]] = FAMILIES) -> str
     return next((f for f, members in families.items() if lang in members), lang)
 
 
+def pairs_of(langs: list[str], families: dict[str, tuple[str, ...]] = FAMILIES) -> int:
+    """How many pairs are told apart: of families, and of languages within each."""
+    sizes = Counter(family_of(lang, families) for lang in langs)
+    return sum(n * (n - 1) // 2 for n in [len(sizes), *sizes.values()])
+
+
+def width(pairs: int) -> int:
+    """The bits of a feature number with which the weights of so many pairs stay within WEIGHTS."""
+    return max(LEAST_BITS, min(BITS, (WEIGHTS // max(1, pairs)).bit_length() - 1))
+
+
 def vector(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and values, of unit length."""
     counts = np.bincount(letter_grams(text, bits), minlength=0)
@@ -115,25 +130,25 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], bits:
     return LanguageModel(known, tuple((a, b) for a, b, _ in tasks), weights, bias, tuple((f, tuple(g)) for f, g in groups.items()), bits)
 
 
-def _features_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features_task(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
             text = b.column(2)[i].as_py()
             if not has_letter(text):
                 continue
-            x, v = vector(text)
+            x, v = vector(text, bits)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0], pa.int32()), b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([x.astype(np.int32).tobytes()], pa.binary()), pa.array([v.astype(np.float32).tobytes()], pa.binary())],
                 names=["one", "id", "lang", "x", "v"],
             )
 
 
-def _fit_task(t: pa.Table) -> pa.Table:
+def _fit_task(t: pa.Table, bits: int) -> pa.Table:
     import pickle
 
     t = t.sort_by([("lang", "ascending"), ("id", "ascending")])
     rows = [(np.frombuffer(x, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float)) for x, v in zip(t.column("x").to_pylist(), t.column("v").to_pylist())]
-    return pa.table({"model": pa.array([pickle.dumps(fit_rows(rows, t.column("lang").to_pylist()))], pa.binary())})
+    return pa.table({"model": pa.array([pickle.dumps(fit_rows(rows, t.column("lang").to_pylist(), bits))], pa.binary())})
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> LanguageModel:
@@ -143,21 +158,22 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ship(docs.sparkSession)
     open_rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (crc_bucket(id_col, 4) != 2))
     ids = open_rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"))
-    top = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    sizes = [tuple(r) for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]  # one row for each language
+    every, bits = docs.sparkSession.createDataFrame(sizes, "lang string, n long"), width(pairs_of([lang for lang, _ in sizes]))
     # of a frequent language, only small hashes reach the ranking: some four times as many rows as it keeps
     small = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.greatest(F.lit(4.0 * per_lang), F.lit(100.0)) / F.col("n") * F.lit(float(1 << 30))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id"))
-    sample = ids.join(F.broadcast(top), "lang").where(small).withColumn("nth", nth).where(F.col("nth") <= per_lang).select("id", "lang").distinct()
-    # at most MAX_LANGS * per_lang narrow rows: a bounded broadcast
+    sample = ids.join(F.broadcast(every), "lang").where(small).withColumn("nth", nth).where(F.col("nth") <= per_lang).select("id", "lang").distinct()
+    # at most per_lang narrow rows of each language
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(sample), ["id", "lang"]).select("id", "lang", "text")
-    features = texts.mapInArrow(_features_task, "one int, id long, lang string, x binary, v binary")
-    got = features.groupBy("one").applyInArrow(_fit_task, "model binary").collect()
+    features = texts.mapInArrow(partial(_features_task, bits=bits), "one int, id long, lang string, x binary, v binary")
+    got = features.groupBy("one").applyInArrow(lambda t: _fit_task(t, bits), "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else LanguageModel((), (), np.zeros((0, 0), np.float32), np.zeros(0), ())
 
 
 def language_column(spark, model: LanguageModel, text: Column) -> Column:
     """A struct (lang_pred, score) of a text column."""
-    shared = spark.sparkContext.broadcast(model)  # bounded by MAX_LANGS and BITS
+    shared = spark.sparkContext.broadcast(model)  # bounded by WEIGHTS
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -373,6 +373,29 @@ def test_language(spark, nothing):
     assert {f: set(m) for f, m in model.families} == {"germanic": {"en", "de"}, "romance": {"fr", "es"}}
 
 
+def test_all_languages_are_learned(spark):
+    """Seventy languages of a family each, also the rarest."""
+    langs = [f"q{i:02}" for i in range(70)]
+
+    def text(k, i):
+        r = random.Random(k * 1000 + i)
+        own = [f"{chr(97 + k % 24)}{chr(97 + k // 24 * 7 + j)}{chr(98 + k % 24)}" for j in range(4)]
+        return " ".join(r.choice(own) for _ in range(20))
+
+    n_of = lambda k: 14 if k < 64 else 10
+    rows = [(k * 100 + i, text(k, i), lang, None, None) for k, lang in enumerate(langs) for i in range(n_of(k))]
+    model = langid.fit_languages(spark.createDataFrame(rows, DOCS))
+    assert set(model.langs) == set(langs)
+    assert [model.predict(text(k, 500))[0] for k in range(70)] == langs
+    assert model.weights.size <= langid.WEIGHTS
+
+
+def test_width_of_features():
+    assert langid.width(0) == langid.width(6) == langid.width(2016) == langid.BITS
+    assert all(n << langid.width(n) <= langid.WEIGHTS for n in range(1, 250_000, 997))
+    assert langid.pairs_of(["en", "de", "fr", "es", "xx"]) == 3 + 1 + 1
+
+
 # --- op1
 
 

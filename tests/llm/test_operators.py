@@ -390,6 +390,14 @@ def test_all_languages_are_learned(spark):
     assert model.weights.size <= langid.WEIGHTS
 
 
+def test_letterless_text_of_many_chunks(monkeypatch):
+    monkeypatch.setattr(text_features, "_CHUNK", 256)
+    rows = [langid.vector(lang_text(lang, i)) for lang in ("en", "de") for i in range(8)]
+    model = langid.fit_rows(rows, ["en"] * 8 + ["de"] * 8)
+    assert [model.predict(x * 256 * 40) for x in ("7", " ", ".")] == [("und", 0.0)] * 3
+    assert model.predict("7" * 256 * 40 + " " + lang_text("de", 9))[0] == "de"
+
+
 def test_width_of_features():
     assert langid.width(0) == langid.width(6) == langid.width(2016) == langid.BITS
     assert all(n << langid.width(n) <= langid.WEIGHTS for n in range(1, 250_000, 997))

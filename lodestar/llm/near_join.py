@@ -19,6 +19,7 @@ and text are copies of each other; an empty table gives no rows; other columns a
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from .text_features import shingles, word_hashes
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET = 16, 6, 0.995
 BLOCK = 512  # texts of one side of a comparison
-MAYBE = 0.6  # pairs of a lower share of equal signature values are not similar: 0.8 lies five deviations above
+LOSS = 1 / 1000  # share of the misses that the target allows which the comparison of signatures may add
 _CHUNK = 1 << 15
 
 
@@ -44,6 +45,14 @@ def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int =
     return length
 
 
+def least_equal(threshold: float = THRESHOLD, target: float = TARGET, values: int = TREES * DEPTH) -> int:
+    """The most equal signature values to ask for: a pair at the threshold has fewer with probability LOSS * (1 - target) at most."""
+    below, k = 0.0, 0
+    while k < values and (below := below + math.comb(values, k) * threshold**k * (1 - threshold) ** (values - k)) <= LOSS * (1 - target):
+        k += 1
+    return k
+
+
 def _factors() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
     return rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
@@ -153,18 +162,18 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def _alike(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[int, np.ndarray]]:
+def _alike(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, threshold: float, least: int, same: bool) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of a, the rows of b (behind it, if it is the same block) that may be similar."""
     for i in range(len(a)):
         first = i + 1 if same else 0
         fit = first + np.flatnonzero((sizes_b[first:] >= threshold * sizes_a[i]) & (sizes_a[i] >= threshold * sizes_b[first:]))
         if len(fit):
-            fit = fit[(b[fit] == a[i]).mean(axis=1) >= MAYBE]
+            fit = fit[(b[fit] == a[i]).sum(axis=1) >= least]
         if len(fit):
             yield i, fit
 
 
-def _meet_task(threshold: float):
+def _meet_task(threshold: float, least: int):
     """Cells of buckets, sorted: (bucket, one, two, side, digest, size, mark) to edges of texts that may be similar."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +193,7 @@ def _meet_task(threshold: float):
             same = t.column("one")[0].as_py() == t.column("two")[0].as_py()
             one = np.arange(t.num_rows) if same else np.flatnonzero(side == 0)
             two = one if same else np.flatnonzero(side == 1)
-            for i, fit in _alike(marks[one], marks[two], sizes[one], sizes[two], threshold, same):
+            for i, fit in _alike(marks[one], marks[two], sizes[one], sizes[two], threshold, least, same):
                 for j in two[fit]:
                     forest.join(int(one[i]), int(j))
             for i, r in forest.edges():
@@ -310,7 +319,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     several = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = entries.join(several, "bucket").join(copies.select("digest", "size", "mark"), "digest")
     cells = in_cells(members, "bucket", F.col("n"), BLOCK * 4).select("bucket", "one", "two", "side", "digest", "size", "mark")
-    maybe = cells.mapInArrow(_meet_task(threshold), "a binary, b binary").distinct()
+    maybe = cells.mapInArrow(_meet_task(threshold, least_equal(threshold, target)), "a binary, b binary").distinct()
     parts = connected(maybe, "maybe", n_rows)
 
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))

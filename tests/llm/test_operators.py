@@ -656,6 +656,17 @@ def test_prefix_is_shortened_until_the_target():
     assert near_join.prefix_length(0.1, 2, 6, 0.9999) == 1
 
 
+def test_near_join_at_a_lower_threshold(spark):
+    """Pairs a little above a threshold of 0.5 are all linked; a fixed filter for 0.8 would throw them away."""
+    assert near_join.least_equal(0.8, 0.995) == 58 and near_join.least_equal(0.5, 0.995) < 40
+    rows = []
+    for k in range(20):
+        w = words(100, 700 + k, 10**6).split()
+        rows += [(2 * k, " ".join(w), None, None, None), (2 * k + 1, " ".join(w[:68]) + " " + words(32, 900 + k, 10**6), None, None, None)]
+    got = near_join.near_duplicates(spark.createDataFrame(rows, DOCS), threshold=0.48).collect()
+    assert sum(r.n_links for r in got) == 40 and all(r.class_id == r.doc_id // 2 * 2 for r in got)
+
+
 def test_word_hashes_across_chunks(monkeypatch):
     text = words(500, 3) + " ÉtÉ " + "y" * 50
     whole = text_features.word_hashes(text)

@@ -1,10 +1,14 @@
 """Exact dedup with a log-structured merge index of digests.
 
-Map tasks fill bounded memtables (digest -> count, smallest identifiers) and flush them as sorted runs.
-Per shard, runs are folded into levels: each run on a level has a Bloom filter, new digests that no
-filter knows skip the search, hits are merged, and compaction keeps the smallest identifiers.
-Rows that hit an entry of two or more rows are then compared byte for byte, so that a digest
-collision never joins different texts.
+Map tasks fill bounded memtables (digest -> count, longest text, smallest identifier). A batch of rows is flushed as one
+run: a written table of entries, sorted by digest and cut into shards by its first bits, and one Bloom filter for each
+shard, in a folder of its own. Adding a batch reads nothing that is there already. Looking keys up asks the filters of
+each run first and reads the entries of those runs only that may hold one of them. LEVEL_RUNS runs of a level are
+compacted into one run of the next, with more shards as it grows; compaction adds counts and keeps, of the longest
+text, the smallest identifier.
+
+Rows whose digest is held by two or more are then compared byte for byte, in salted blocks, so that a digest collision
+never joins different texts and a large group is no single task.
 
 Defined results: a null text equals the empty text; a null id sorts after every id; rows that repeat
 the same id and text count one by one in ``group_size`` and exactly one of them is kept; an empty table
@@ -14,22 +18,25 @@ gives no rows; other columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import ASCII_SPACE, id_or_last, materialize, real_id, ship
+from .common import ASCII_SPACE, long_id, materialize, ship, table
 
 MEMTABLE_ENTRIES = 100_000  # entries of a map task's memtable before it is flushed
-SHARD_ROWS = 200_000  # rows a shard's index is planned for
+SHARD_ROWS = 200_000  # keys a shard of a run is planned for
 LEVEL_RUNS = 4  # runs of a level before they are compacted into one
 VERIFY_BLOCK = 256  # rows of one digest that are byte-verified in one salted block
 
-RUN_SCHEMA = "shard int, run string, digest binary, n long, longest long, keep_id long"
-ENTRY_SCHEMA = "digest binary, n long, longest long, keep_id long"
+ENTRY_SCHEMA = "shard int, digest binary, n long, longest long, keep_id long"
+RUN_SCHEMA = f"kind string, {ENTRY_SCHEMA}, filter binary"
+KEPT = ("digest", "n", "longest", "keep_id")
 
 
 def normalised(text: Column) -> Column:
@@ -38,114 +45,56 @@ def normalised(text: Column) -> Column:
 
 
 class BloomFilter:
-    """Bits over 16-byte or longer digests; the digest itself supplies the hash values."""
+    """Bits over digests; the digest itself supplies the hash values."""
 
     def __init__(self, n: int, bits_per_key: int = 12, hashes: int = 6):
-        self.bits = np.zeros(max(64, n * bits_per_key), dtype=bool)
+        self.bits = np.zeros(-(-max(64, n * bits_per_key) // 8) * 8, dtype=bool)
         self.hashes = hashes
 
-    def _places(self, keys: np.ndarray) -> np.ndarray:
-        first, second = keys[:, 0], keys[:, 1] | np.uint64(1)
+    def _places(self, digests: list[bytes]) -> np.ndarray:
+        raw = np.frombuffer(b"".join((d * 16)[-16:] for d in digests), dtype="<u8").reshape(-1, 2)
+        first, second = raw[:, 0] ^ (raw[:, 1] << np.uint64(7)), (raw[:, 1] ^ (raw[:, 0] >> np.uint64(31))) | np.uint64(1)
         steps = np.arange(self.hashes, dtype=np.uint64)
         return ((first[:, None] + steps * second[:, None]) % np.uint64(len(self.bits))).astype(np.int64)
 
-    def add(self, keys: np.ndarray) -> None:
-        self.bits[self._places(keys)] = True
+    def add(self, digests: list[bytes]) -> None:
+        self.bits[self._places(digests)] = True
 
-    def may_hold(self, keys: np.ndarray) -> np.ndarray:
-        return self.bits[self._places(keys)].all(axis=1)
+    def may_hold(self, digests: list[bytes]) -> np.ndarray:
+        return self.bits[self._places(digests)].all(axis=1)
 
+    def to_bytes(self) -> bytes:
+        return np.packbits(self.bits).tobytes()
 
-def _hash_words(digests: np.ndarray) -> np.ndarray:
-    """Two 64-bit words for each digest, for filters only."""
-    words = np.empty((len(digests), 2), dtype=np.uint64)
-    for i, d in enumerate(digests):
-        padded = (d * (16 // len(d) + 1))[:16]
-        words[i] = np.frombuffer(padded, dtype="<u8")
-    words[:, 1] ^= words[:, 0] >> np.uint64(31)
-    return words
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> BloomFilter:
+        out = cls(1)
+        out.bits = np.unpackbits(np.frombuffer(blob, np.uint8)).astype(bool)
+        return out
 
 
-class Run:
-    """A sorted run of entries with its filter."""
-
-    def __init__(self, digests: np.ndarray, n: np.ndarray, longest: np.ndarray, keep: np.ndarray):
-        self.digests, self.n, self.longest, self.keep = digests, n, longest, keep
-        words = _hash_words(digests)
-        self.filter = BloomFilter(len(digests))
-        self.filter.add(words)
-
-    @staticmethod
-    def merged(parts: list[tuple]) -> tuple:
-        """Entries of several runs, equal digests folded: counts add, the longest text's smallest id stays."""
-        digests, n, longest, keep = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        order = np.lexsort((keep, -longest, digests))
-        digests, n, longest, keep = digests[order], n[order], longest[order], keep[order]
-        first = np.r_[True, digests[1:] != digests[:-1]] if len(digests) else np.zeros(0, bool)
-        starts = np.flatnonzero(first)
-        return digests[starts], np.add.reduceat(n, starts) if len(starts) else n, longest[starts], keep[starts]
-
-
-class LsmShard:
-    """One shard's index: levels of sorted runs."""
-
-    def __init__(self):
-        self.levels: list[list[Run]] = [[]]
-
-    def flush(self, digests, n, longest, keep) -> None:
-        """Take in a memtable's sorted run; its hits in older runs are updated in place."""
-        words = _hash_words(digests)
-        left = np.ones(len(digests), dtype=bool)
-        for run in (r for level in self.levels for r in level):
-            maybe = np.flatnonzero(left & run.filter.may_hold(words))
-            if not len(maybe):
-                continue
-            at = np.searchsorted(run.digests, digests[maybe])
-            at_safe = np.minimum(at, len(run.digests) - 1)
-            hit = run.digests[at_safe] == digests[maybe]
-            mine, theirs = maybe[hit], at_safe[hit]
-            run.n[theirs] += n[mine]
-            better = (longest[mine] > run.longest[theirs]) | ((longest[mine] == run.longest[theirs]) & (keep[mine] < run.keep[theirs]))
-            run.longest[theirs[better]] = longest[mine[better]]
-            run.keep[theirs[better]] = keep[mine[better]]
-            left[mine] = False
-        if left.any():
-            self.levels[0].append(Run(digests[left], n[left], longest[left], keep[left]))
-        self._compact()
-
-    def _compact(self) -> None:
-        level = 0
-        while level < len(self.levels):
-            if len(self.levels[level]) >= LEVEL_RUNS:
-                if level + 1 == len(self.levels):
-                    self.levels.append([])
-                runs = self.levels[level]
-                self.levels[level + 1].append(Run(*Run.merged([(r.digests, r.n, r.longest, r.keep) for r in runs])))
-                self.levels[level] = []
-            level += 1
+def shard_of(digest: bytes, shards: int) -> int:
+    """By the first bits, so that shards follow the order of digests. shards: a power of two."""
+    return int.from_bytes((digest + bytes(4))[:4], "big") * shards >> 32
 
-    def entries(self) -> tuple:
-        runs = [(r.digests, r.n, r.longest, r.keep) for level in self.levels for r in level]
-        return Run.merged(runs) if runs else tuple(np.array([], dtype=t) for t in (object, np.int64, np.int64, np.int64))
 
+def shards_for(keys: int, least: int) -> int:
+    shards = 1
+    while shards < max(least, -(-keys // SHARD_ROWS)):
+        shards *= 2
+    return shards
 
-def _memtable_task(n_shards: int):
-    """Map side: bounded memtables, flushed as runs sorted by digest."""
 
-    def flush(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+def _memtable_task(shards: int):
+    """Map side: rows (digest, n_points, id) into bounded memtables, flushed in the order of digests."""
 
+    def flush(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
 
         def out() -> pa.RecordBatch:
             keys = sorted(held)
-            shard = [int.from_bytes((k * 4)[:4], "little") % n_shards for k in keys]
             n, longest, keep = (pa.array([held[k][i] for k in keys], pa.int64()) for i in range(3))
-            run = uuid.uuid4().hex
-            return pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int32()), pa.array([run] * len(keys), pa.string()), pa.array(keys, pa.binary()), n, longest, keep],
-                names=["shard", "run", "digest", "n", "longest", "keep_id"],
-            )
+            return pa.RecordBatch.from_arrays([pa.array([shard_of(k, shards) for k in keys], pa.int32()), pa.array(keys, pa.binary()), n, longest, keep], names=["shard", *KEPT])
 
         for b in batches:
             for d, length, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -154,8 +103,10 @@ def _memtable_task(n_shards: int):
                     held[d] = [1, length, i]
                 else:
                     e[0] += 1
-                    if (-length, i) < (-e[1], e[2]):
+                    if length > e[1]:
                         e[1], e[2] = length, i
+                    elif length == e[1] and i is not None and (e[2] is None or i < e[2]):
+                        e[2] = i
             if len(held) >= MEMTABLE_ENTRIES:
                 yield out()
                 held.clear()
@@ -165,47 +116,135 @@ def _memtable_task(n_shards: int):
     return flush
 
 
-def _shard_task(t: pa.Table) -> pa.Table:
-    """Reduce side: fold a shard's runs, each flushed into the index in turn."""
-    shard = LsmShard()
-    run = t.column("run").to_numpy(zero_copy_only=False)
-    digests = np.array(t.column("digest").to_pylist(), dtype=object)
-    n, longest, keep = (t.column(c).to_numpy() for c in ("n", "longest", "keep_id"))
-    order = np.lexsort((digests, run))
-    edges = np.flatnonzero(np.r_[True, run[order][1:] != run[order][:-1]]) if len(run) else np.array([], int)
-    for a, b in zip(edges, [*edges[1:], len(order)]):
-        rows = order[a:b]
-        shard.flush(digests[rows], n[rows].copy(), longest[rows].copy(), keep[rows].copy())
-    digests, n, longest, keep = shard.entries()
-    return pa.table({"digest": pa.array(list(digests), pa.binary()), "n": pa.array(n, pa.int64()), "longest": pa.array(longest, pa.int64()), "keep_id": pa.array(keep, pa.int64())})
-
-
-def build_index(rows: DataFrame, n_rows: int, entries: DataFrame | None = None) -> DataFrame:
-    """Entries (digest, n, longest, keep_id) of rows (digest, n_points, id), added to an older index's entries."""
-    spark = rows.sparkSession
-    ship(spark)
-    n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // SHARD_ROWS))
-    runs = rows.select("digest", "n_points", "id").mapInArrow(_memtable_task(n_shards), RUN_SCHEMA)
-    if entries is not None:
-        runs = runs.unionByName(entries.mapInArrow(_old_entries_task(n_shards), RUN_SCHEMA))
-    return runs.groupBy("shard").applyInArrow(_shard_task, ENTRY_SCHEMA)
-
-
-def _old_entries_task(n_shards: int):
+def _reshard_task(shards: int):
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column("digest").to_pylist()
-            shard = [int.from_bytes((k * 4)[:4], "little") % n_shards for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int32()), pa.array([""] * len(keys), pa.string()), b.column("digest"), b.column("n"), b.column("longest"), b.column("keep_id")],
-                names=["shard", "run", "digest", "n", "longest", "keep_id"],
-            )
+            shard = [shard_of(k, shards) for k in b.column("digest").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *(b.column(c) for c in KEPT)], names=["shard", *KEPT])
 
     return again
 
 
+def merged(t: pa.Table) -> pa.Table:
+    """Entries folded by digest, in its order: counts add; of the longest text, the smallest id stays, a null one only if there is no other."""
+    if not t.num_rows:
+        return t
+    t = t.sort_by([("digest", "ascending"), ("longest", "descending"), ("keep_id", "ascending")]).combine_chunks()
+    d = t.column("digest").combine_chunks()
+    starts = np.flatnonzero(np.r_[True, pc.not_equal(d.slice(1), d.slice(0, len(d) - 1)).to_numpy(zero_copy_only=False)])
+    n = np.add.reduceat(t.column("n").to_numpy(), starts)
+    out = t.take(pa.array(starts))
+    return out.set_column(out.column_names.index("n"), "n", pa.array(n, pa.int64()))
+
+
+def _run_task(t: pa.Table) -> pa.Table:
+    """Reduce side: what a shard's memtables hold, merged into sorted entries, and their filter."""
+    entries = merged(t.select(["shard", *KEPT]))
+    digests = entries.column("digest").to_pylist()
+    bloom = BloomFilter(len(digests))
+    bloom.add(digests)
+    n = entries.num_rows
+    rows = entries.add_column(0, "kind", pa.array(["entries"] * n, pa.string())).append_column("filter", pa.nulls(n, pa.binary()))
+    one = pa.table({"kind": ["filter"], "shard": entries.column("shard").slice(0, 1), "digest": pa.nulls(1, pa.binary()), "n": pa.nulls(1, pa.int64()), "longest": pa.nulls(1, pa.int64()), "keep_id": pa.nulls(1, pa.int64()), "filter": pa.array([bloom.to_bytes()], pa.binary())})
+    return pa.concat_tables([rows, one.cast(rows.schema)])
+
+
+def _maybe_task(key, keys: pa.Table, filters: pa.Table) -> pa.Table:
+    if not filters.num_rows or not keys.num_rows:
+        return keys.slice(0, 0).select(["shard", "digest"])
+    bloom = BloomFilter.from_bytes(filters.column("filter")[0].as_py())
+    return keys.filter(pa.array(bloom.may_hold(keys.column("digest").to_pylist()))).select(["shard", "digest"])
+
+
+@dataclass(frozen=True)
+class Run:
+    """A written, sorted run with its filters."""
+
+    rows: DataFrame
+    shards: int
+    keys: int
+    level: int
+
+    @property
+    def entries(self) -> DataFrame:
+        return self.rows.where("kind = 'entries'").select("shard", *KEPT)
+
+    @property
+    def filters(self) -> DataFrame:
+        return self.rows.where("kind = 'filter'").select("shard", "filter")
+
+    def may_hold(self, keys: DataFrame, n_keys: int) -> DataFrame:
+        """The keys (digest) that a filter of this run doesn't rule out, with their shard. Only filters are read."""
+        salts = max(1, -(-n_keys // (self.shards * SHARD_ROWS)))  # a large batch meets each filter in several tasks
+        shards = self.shards
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                d = b.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([shard_of(k, shards) for k in d], pa.int32()), pa.array([k[-1] % salts for k in d], pa.int32()), b.column(0)], names=["shard", "salt", "digest"])
+
+        asked = keys.select("digest").mapInArrow(placed, "shard int, salt int, digest binary")
+        blooms = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return asked.groupBy("shard", "salt").cogroup(blooms.groupBy("shard", "salt")).applyInArrow(_maybe_task, "shard int, digest binary")
+
+
+@dataclass(frozen=True)
+class DigestIndex:
+    """An immutable index, newest run first; ``add`` gives a new one."""
+
+    runs: tuple[Run, ...] = field(default=())
+
+    def add(self, rows: DataFrame) -> DigestIndex:
+        """With a batch of rows (digest, n_points, id) as one more run. Older entries are read by compaction only."""
+        ship(rows.sparkSession)
+        count = rows.count()
+        shards = shards_for(count, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        flushed = rows.select("digest", "n_points", "id").mapInArrow(_memtable_task(shards), ENTRY_SCHEMA)
+        return DigestIndex((_written(flushed, shards, count, 0), *self.runs))._compacted()
+
+    def _compacted(self) -> DigestIndex:
+        runs, level = list(self.runs), 0
+        while any(r.level >= level for r in runs):
+            full = [r for r in runs if r.level == level]
+            if len(full) >= LEVEL_RUNS:
+                keys = sum(r.keys for r in full)
+                shards = shards_for(keys, max(r.shards for r in full))
+                dealt = reduce(DataFrame.unionByName, (r.entries.select(*KEPT) for r in full)).mapInArrow(_reshard_task(shards), ENTRY_SCHEMA)
+                at = runs.index(full[0])
+                runs = [r for r in runs if r.level != level]
+                runs.insert(at, _written(dealt, shards, keys, level + 1))
+            level += 1
+        return DigestIndex(tuple(runs))
+
+    def lookup(self, keys: DataFrame, n_keys: int) -> DataFrame | None:
+        """The entries of these keys (digest), folded over all runs; None if no filter knows any of them."""
+        found = []
+        for run in self.runs:
+            maybe = materialize(run.may_hold(keys, n_keys), "maybe", n_keys)
+            if maybe.limit(1).count():
+                found.append(run.entries.join(maybe, ["shard", "digest"], "left_semi").select(*KEPT))
+        return folded(found) if found else None
+
+    def entries(self) -> DataFrame:
+        """All entries (digest, n, longest, keep_id)."""
+        return folded([r.entries.select(*KEPT) for r in self.runs])
+
+
+def _written(flushed: DataFrame, shards: int, keys: int, level: int) -> Run:
+    return Run(materialize(flushed.groupBy("shard").applyInArrow(_run_task, RUN_SCHEMA), "run", keys, by="kind"), shards, keys, level)
+
+
+def folded(parts: list[DataFrame]) -> DataFrame:
+    """Entries of several runs as one for each digest. A single run is that already."""
+    if len(parts) == 1:
+        return parts[0]
+    best = F.min(F.struct((-F.col("longest")).alias("shorter"), F.col("keep_id").isNull().alias("unnamed"), "keep_id")).alias("best")
+    every = reduce(DataFrame.unionByName, parts).groupBy("digest").agg(F.sum("n").alias("n"), best)
+    return every.select("digest", "n", (-F.col("best.shorter")).alias("longest"), "best.keep_id")
+
+
 def _verify_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (digest, salt): number the different texts of each block. The first row of a text carries it."""
+    """Rows (digest, salt, norm, salts, ...) sorted by the first two: number the different texts of each block. The first row of a text carries it."""
     at, seen = None, {}
     for b in batches:
         if not b.num_rows:
@@ -222,10 +261,9 @@ def _verify_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 leader.append(None)
             variant.append(known)
-        kept = [b.column(i) for i in range(4, b.num_columns)]
+        names = [b.schema.names[i] for i in range(4, b.num_columns)]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), b.column(3), pa.array(variant, pa.int32()), pa.array(leader, pa.string()), *kept],
-            names=["digest", "salt", "salts", "local", "leader", "id", "n_points", "sha"],
+            [b.column(0), b.column(1), b.column(3), pa.array(variant, pa.int32()), pa.array(leader, pa.string()), *(b.column(n) for n in names)], names=["digest", "salt", "salts", "local", "leader", *names]
         )
 
 
@@ -236,53 +274,47 @@ def _agree_task(t: pa.Table) -> pa.Table:
     return pa.table({"digest": t.column("digest"), "salt": t.column("salt"), "local": t.column("local"), "variant": pa.array(variant, pa.int32())})
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32, n_rows: int | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32, row_key: str | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
-    ``digest_bytes`` shortens the digest (tests use it to force collisions).
+    ``digest_bytes`` shortens the digest (tests use it to force collisions). ``row_key``: a column that names each
+    row; it is then a column of the result too.
     """
-    n_rows = docs.count() if n_rows is None else n_rows
-    text = normalised(F.col(text_col))
+    text, key = normalised(F.col(text_col)), [] if row_key is None else ["row_key"]
     rows = docs.select(
-        id_or_last(id_col).alias("id"),
+        long_id(id_col).alias("id"),
         F.unhex(F.sha2(text, 256)).alias("sha"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"),
         text.alias("norm"),
+        F.monotonically_increasing_id().alias("row"),  # tells rows apart that are equal in all else; compared within one written table only
+        *([] if row_key is None else [F.col(row_key).alias("row_key")]),
     ).withColumn("digest", F.substring("sha", 1, digest_bytes))
-    narrow = materialize(rows.drop("norm"), "digests")
-    entries = materialize(build_index(narrow, n_rows), "entries", n_rows)
-    several = entries.where("n > 1").select("digest", F.ceil(F.col("n") / VERIFY_BLOCK).cast("int").alias("salts"))
-
-    single = narrow.join(several, "digest", "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-
-    salt = F.pmod(F.xxhash64("id", "n_points"), F.col("salts")).cast("int")
-    hits = rows.join(several, "digest").select("digest", salt.alias("salt"), "norm", "salts", "id", "n_points", "sha")
-    checked = materialize(
-        hits.repartition("digest", "salt").sortWithinPartitions("digest", "salt")
-        .mapInArrow(_verify_task, "digest binary, salt int, salts int, local int, leader string, id long, n_points long, sha binary"),
-        "verified",
-        n_rows,
-    )
+    narrow = materialize(rows.drop("norm", "row"), "digests")
+    n_rows = narrow.count()
+    index = DigestIndex().add(narrow)
+    several = materialize(index.entries().where("n > 1").select("digest", F.ceil(F.col("n") / VERIFY_BLOCK).cast("int").alias("salts")), "several", n_rows)
+
+    single = narrow.join(several, "digest", "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", *key)
+
+    salt = F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")
+    hits = rows.join(several, "digest").select("digest", salt.alias("salt"), "norm", "salts", "id", "n_points", "sha", "row", *key)
+    checked_schema = "digest binary, salt int, salts int, local int, leader string, id long, n_points long, sha binary, row long" + "".join(f", row_key {rows.schema['row_key'].dataType.simpleString()}" for _ in key)
+    checked = materialize(hits.repartition("digest", "salt").sortWithinPartitions("digest", "salt").mapInArrow(_verify_task, checked_schema), "verified", n_rows)
     leaders = checked.where(F.col("leader").isNotNull()).select("digest", "salt", "local", "leader")
-    agreed = leaders.groupBy("digest").applyInArrow(_agree_task, "digest binary, salt int, local int, variant int")
+    # blocks of one digest whose texts differ: collisions only, so that what must be agreed on stays small
+    differ = leaders.select("digest", "leader").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
+    agreed = leaders.join(differ, "digest", "left_semi").groupBy("digest").applyInArrow(_agree_task, "digest binary, salt int, local int, variant int")
     variants = checked.drop("leader").join(agreed, ["digest", "salt", "local"], "left").withColumn("variant", F.coalesce("variant", "local"))
-    best = variants.groupBy("digest", "variant").agg(
-        F.min(F.struct((-F.col("n_points")).alias("shorter"), F.col("id").alias("keep_id"))).alias("best"), F.count(F.lit(1)).alias("group_size")
-    )
-    nth = F.row_number().over(Window.partitionBy("digest", "variant", "id").orderBy(F.desc("n_points")))
+    first = F.struct((-F.col("n_points")).alias("shorter"), F.col("id").isNull().alias("unnamed"), "id", "row")
+    best = variants.groupBy("digest", "variant").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("group_size"))
     # one copy of a group's result for each of its salted blocks, so that a large group isn't joined in one task
     spread = best.join(several, "digest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    several_rows = variants.withColumn("nth", nth).join(spread, ["digest", "variant", "salt"]).select(
-        "id", F.col("best.keep_id").alias("keep_id"), "group_size", ((F.col("id") == F.col("best.keep_id")) & (F.col("nth") == 1)).alias("kept"), "sha"
-    )
-    return single.unionByName(several_rows).select(
-        real_id("id").alias(id_col), real_id("keep_id").alias("keep_id"), "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")
-    )
+    several_rows = variants.join(spread, ["digest", "variant", "salt"]).select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "sha", *key)
+    named_key = [] if row_key is None else [F.col("row_key").alias(row_key)]
+    return single.unionByName(several_rows).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), *named_key)
 
 
 def op10_exact_dedup(spark, sf_dir) -> DataFrame:
-    from .common import table
-
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -4,9 +4,11 @@ A first stage of one-versus-one linear support vector machines tells language fa
 chosen family, one-versus-one machines separate its languages. Features are hashed letter 1- to 3-grams of
 the whole text, as relative frequencies under a square root.
 
-The fit takes at most ``PER_LANG`` documents of each language, those with the smallest hash of their id
-(a documented bound of the fit; prediction reads every row and whole texts). Every language is learned: the
-more pairs there are, the narrower the features are hashed, so that the model stays within ``WEIGHTS`` numbers.
+The fit takes at most ``PER_LANG`` rows of each language, and of all together some ``FIT_ROWS`` (but ``LEAST_PER_LANG``
+of each in any case), those with the smallest hash of id and place (a documented bound of the fit; prediction reads
+every row and whole texts). Every language is learned: the more pairs there are, the narrower the features are hashed,
+so that the model stays within ``WEIGHTS`` numbers (some 260 MB). The fitting task holds its rows' features, eight bytes each: 840 MB if
+every text of the sample had every feature, some 20 MB in practice.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; if no language can be
 learned, every text is ``und``; with one learned language every text with a letter is that one; a null
@@ -27,15 +29,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import crc_bucket, ship, table
+from .common import crc_bucket, long_id, materialize, row_keys, sampled, ship, table
 from .svm import fit_hinge
-from .text_features import has_letter, letter_grams
+from .text_features import has_letter, letter_counts
 
 BITS = 15
 LEAST_BITS = 8
-PER_LANG = 400  # documents of a language that the fit takes at most
+PER_LANG, LEAST_PER_LANG, FIT_ROWS = 400, 20, 3200  # rows that the fit takes: of a language at most, at least, and in all
 WEIGHTS = 2016 << BITS  # numbers of the model: the pairs of 64 languages without families at full width
 UNDETERMINED = "und"
 
@@ -68,7 +69,7 @@ def width(pairs: int) -> int:
 
 def vector(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and values, of unit length."""
-    counts = np.bincount(letter_grams(text, bits), minlength=0)
+    counts = letter_counts(text, bits)
     x = np.flatnonzero(counts)
     v = np.sqrt(counts[x])
     return x, v / (np.sqrt(float(v @ v)) or 1.0)
@@ -97,13 +98,9 @@ class LanguageModel:
         return best, float(share[best])
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text:
+        if not self.langs or not has_letter(text):
             return UNDETERMINED, 0.0
-        if not has_letter(text):
-            return UNDETERMINED, 0.0
-        grams = letter_grams(text, self.bits)
-        counts = np.bincount(grams, minlength=1 << self.bits)
-        v = np.sqrt(counts)
+        v = np.sqrt(letter_counts(text, self.bits))
         margins = dict(zip(self.pairs, ((v @ self.weights) / (np.sqrt(float(v @ v)) or 1.0) + self.bias).tolist())) if self.pairs else {}
         families = dict(self.families)
         family, p = self._vote(tuple(families), margins)
@@ -144,26 +141,22 @@ def _features_task(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.
 def _fit_task(t: pa.Table, bits: int) -> pa.Table:
     import pickle
 
-    t = t.sort_by([("lang", "ascending"), ("id", "ascending")])
-    rows = [(np.frombuffer(x, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float)) for x, v in zip(t.column("x").to_pylist(), t.column("v").to_pylist())]
+    t = t.sort_by([("lang", "ascending"), ("id", "ascending"), ("x", "ascending"), ("v", "ascending")])
+    rows = [(np.frombuffer(x, np.int32), np.frombuffer(v, np.float32)) for x, v in zip(t.column("x").to_pylist(), t.column("v").to_pylist())]
     return pa.table({"model": pa.array([pickle.dumps(fit_rows(rows, t.column("lang").to_pylist(), bits))], pa.binary())})
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> LanguageModel:
-    """Fit on at most per_lang documents of each language, outside the held-out quarter."""
+    """Fit on a bounded number of rows of each language, outside the held-out quarter."""
     import pickle
 
     ship(docs.sparkSession)
-    open_rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (crc_bucket(id_col, 4) != 2))
-    ids = open_rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"))
-    sizes = [tuple(r) for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]  # one row for each language
-    every, bits = docs.sparkSession.createDataFrame(sizes, "lang string, n long"), width(pairs_of([lang for lang, _ in sizes]))
-    # of a frequent language, only small hashes reach the ranking: some four times as many rows as it keeps
-    small = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.greatest(F.lit(4.0 * per_lang), F.lit(100.0)) / F.col("n") * F.lit(float(1 << 30))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id"))
-    sample = ids.join(F.broadcast(every), "lang").where(small).withColumn("nth", nth).where(F.col("nth") <= per_lang).select("id", "lang").distinct()
-    # at most per_lang narrow rows of each language
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(sample), ["id", "lang"]).select("id", "lang", "text")
+    named = row_keys(docs).select("row_key", long_id(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (crc_bucket(id_col, 4) == 2).alias("held_out"))
+    rows = materialize(named.where("id is not null and lang is not null and not held_out").select("row_key", "id", "lang"), "known-languages")
+    langs = [r["lang"] for r in rows.select("lang").distinct().collect()]  # one row for each language
+    bits, most = width(pairs_of(langs)), max(LEAST_PER_LANG, min(per_lang, FIT_ROWS // max(1, len(langs))))
+    # at most that many narrow rows of each language
+    texts = named.select("row_key", "id", "text").join(F.broadcast(sampled(rows, "lang", most)), "row_key").select("id", "lang", "text")
     features = texts.mapInArrow(partial(_features_task, bits=bits), "one int, id long, lang string, x binary, v binary")
     got = features.groupBy("one").applyInArrow(lambda t: _fit_task(t, bits), "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else LanguageModel((), (), np.zeros((0, 0), np.float32), np.zeros(0), ())

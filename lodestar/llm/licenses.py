@@ -8,7 +8,7 @@ size, by an equality join on n with the templates' size table. Bigrams count as
 All steps are DataFrame functions. The templates are a parameter of fixed size; nothing that grows with the
 input is broadcast, and in ``license_scan`` each document's units are reduced to one row before the only shuffle.
 
-Defined results: one row per doc_id, null included; rows that repeat a doc_id count as one document; licence
+Defined results: one row per input row, whatever its doc_id; licence
 and line are null and the score 0 if no unit reaches the threshold; line 0 is the whole text, line 1 the first
 line; ties go to the template's name, then to the smaller line; null and empty texts have no words and match
 nothing; an empty table gives no rows; other columns are ignored.
@@ -17,7 +17,7 @@ nothing; an empty table gives no rows; other columns are ignored.
 wrapped and whatever stands around it. A document goes on only with the templates of whose bigrams it holds
 enough; spans then begin and end at one of these bigrams and follow the same size bounds. Of a template's spans
 that share a word, the one with the best score stays, then of all that do, the one that shares most bigrams
-with its template. Its results are as above, but for one row for each document and licence found: the licence's
+with its template. Its results are as above, but for one row for each input row and licence found: the licence's
 best score, and the line in which that span begins (0 if the span is the whole text).
 OP2_SQL has single lines and whole texts only and one licence a document: it defines less than the query, and
 the same where each document has one licence at most, on lines of its own, as in the test tables.
@@ -31,28 +31,11 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import row_keys, table
+from .license_texts import TEMPLATES
 
 THRESHOLD = 0.8
 
-# Public licence notices and texts, as their licences give them.
-TEMPLATES = {
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "MIT-notice": "Released under the MIT License.",
-    "BSD-notice": "Licensed under the BSD 3-Clause License.",
-    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
-    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
-    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
-    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
-}
-
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,7 +78,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     text = F.coalesce(F.col(text_col), F.lit(""))
     units = F.transform(F.concat(F.array(text), F.split(text, "\n")), lambda u, i: F.struct(i.alias("line"), words_column(u).alias("words")))
     possible = F.filter(units, lambda u: (F.size(u["words"]) > least) & (F.size(u["words"]) <= most + 1))
-    unit = docs.select(F.col(id_col).alias("doc"), F.explode_outer(possible).alias("unit")).select("doc", "unit.line", "unit.words", (F.size("unit.words") - 1).alias("n"))
+    unit = row_keys(docs).select(F.col(id_col).alias("doc"), F.col("row_key").alias("u"), F.explode_outer(possible).alias("unit")).select("doc", "u", "unit.line", "unit.words", (F.size("unit.words") - 1).alias("n"))
     grams = F.zip_with(F.slice("words", F.lit(1), F.greatest(F.col("n"), F.lit(0))), F.slice("words", F.lit(2), F.greatest(F.col("n"), F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     met = unit.withColumn("own", grams).join(F.broadcast(by_size), "n", "left")  # the templates' sizes: fixed, some thousand rows
 
@@ -106,10 +89,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
         F.arrays_zip("grams", "times"), F.lit(0), lambda acc, g: acc + F.least(g["times"], F.size(F.filter(F.col("own"), lambda x: x == g["grams"])))
     )
     score = F.when(F.lit(2.0) * at_most / (n + m) >= threshold, F.lit(2.0) * shared / (n + m))
-    scored = met.select("doc", "line", "licence", score.alias("score")).withColumn("score", F.when(F.col("score") >= threshold, F.col("score")))
+    scored = met.select("doc", "u", "line", "licence", score.alias("score")).withColumn("score", F.when(F.col("score") >= threshold, F.col("score")))
     best = F.min(F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("worse"), "licence", "line")))
     return (
-        scored.groupBy("doc").agg(best.alias("best"))
+        scored.groupBy("u", "doc").agg(best.alias("best"))
         .select(F.col("doc").alias(id_col), F.col("best.licence").alias("licence"), F.coalesce(-F.col("best.worse"), F.lit(0.0)).alias("score"), F.col("best.line").alias("line"))
     )
 
@@ -136,10 +119,10 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, thre
     by_gram = spark.createDataFrame([(name, g, n) for name, c in counted.items() for g, n in c.items()], "licence string, gram string, times int")
     reaches = lambda shared, m: 2.0 * shared / (shared + m) >= threshold  # a span that holds nothing else
     least = min((next(k for k in range(m + 1) if reaches(k, m)) - spare for _, m, _, spare, _ in sizes), default=0)
-    known = F.split(F.lit("\n".join(sorted({g for c in counted.values() for g in c}))), "\n")  # folded to one literal
+    known = sorted({g for c in counted.values() for g in c})
 
-    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("u", F.monotonically_increasing_id())
-    met = F.transform(F.array(words_column(F.col("text"))), lambda w: F.struct(w.alias("words"), F.array_intersect(grams_column(w), known).alias("met")))
+    rows = row_keys(docs).select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("row_key").alias("u"))
+    met = F.transform(F.array(words_column(F.col("text"))), lambda w: F.struct(w.alias("words"), F.array_distinct(F.filter(grams_column(w), lambda g: g.isin(known))).alias("met")))
     some = rows.select("doc", "u", "text", F.explode(F.filter(met, lambda x: F.size(x["met"]) >= max(1, least))).alias("x")).select("doc", "u", "text", "x.words", "x.met")
     pairs = some.join(F.broadcast(by_name), reaches(F.size(F.array_intersect("met", "grams")) + F.col("spare"), F.col("m")))
 
@@ -171,11 +154,11 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, thre
     own = spans.select("doc", "u", "licence", "n", F.explode(_apart(F.col("spans"), "array<struct<worse:double,first:int,last:int,common:int,line:int>>")).alias("s"))
     ranked = F.struct((-F.col("s.common")).alias("fewer"), "s.worse", "licence", "s.first", "s.last", F.when((F.col("s.first") == 0) & (F.col("s.last") == F.col("n") - 1), 0).otherwise(F.col("s.line")).alias("line"))
     told = own.groupBy("doc", "u").agg(F.array_sort(F.collect_list(ranked)).alias("spans"))
-    told = told.select("doc", F.explode(_apart(F.col("spans"), "array<struct<fewer:int,worse:double,licence:string,first:int,last:int,line:int>>")).alias("s"))
-    each = told.select("doc", "s.licence", "s.worse", "s.line").unionByName(docs.select(F.col(id_col).alias("doc")), allowMissingColumns=True)
-    best = each.groupBy("doc", "licence").agg(F.min(F.struct("worse", "line")).alias("best"))
+    told = told.select("doc", "u", F.explode(_apart(F.col("spans"), "array<struct<fewer:int,worse:double,licence:string,first:int,last:int,line:int>>")).alias("s"))
+    each = told.select("doc", "u", "s.licence", "s.worse", "s.line").unionByName(rows.select("doc", "u"), allowMissingColumns=True)
+    best = each.groupBy("u", "doc", "licence").agg(F.min(F.struct("worse", "line")).alias("best"))
     named = F.collect_list(F.when(F.col("licence").isNotNull(), F.struct("licence", "best.worse", "best.line"))).alias("found")  # as many as templates
-    out = best.groupBy("doc").agg(named).select("doc", F.explode_outer("found").alias("s"))
+    out = best.groupBy("u", "doc").agg(named).select("doc", F.explode_outer("found").alias("s"))
     return out.select(F.col("doc").alias(id_col), "s.licence", F.coalesce(-F.col("s.worse"), F.lit(0.0)).alias("score"), "s.line")
 
 
@@ -197,29 +180,29 @@ t_grams AS (
   FROM (SELECT licence, words, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS g FROM t_words)
   GROUP BY ALL
 ),
-d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 units AS (
-  SELECT row_number() OVER () AS u, doc_id, line, {_NORMAL.format("body")} AS words
+  SELECT row_number() OVER () AS u, r, line, {_NORMAL.format("body")} AS words
   FROM (
-    SELECT doc_id, 0 AS line, text AS body FROM d
+    SELECT r, 0 AS line, text AS body FROM d
     UNION ALL
-    SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS body FROM d
+    SELECT r, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS body FROM d
   )
 ),
-sized AS (SELECT u, doc_id, line, len(words) - 1 AS n, words FROM units WHERE len(words) BETWEEN 2 AND 2 * (SELECT max(m) FROM t_grams)),
+sized AS (SELECT u, r, line, len(words) - 1 AS n, words FROM units WHERE len(words) BETWEEN 2 AND 2 * (SELECT max(m) FROM t_grams)),
 grams AS (
   SELECT u, g, count(*) AS c
   FROM (SELECT u, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS g FROM sized)
   GROUP BY ALL
 ),
 scores AS (
-  SELECT s.doc_id, s.line, t.licence, 2.0::DOUBLE * sum(least(g.c, t.c)) / (s.n + t.m) AS score
+  SELECT s.r, s.line, t.licence, 2.0::DOUBLE * sum(least(g.c, t.c)) / (s.n + t.m) AS score
   FROM sized s JOIN grams g ON s.u = g.u JOIN t_grams t ON g.g = t.g
-  GROUP BY s.u, s.doc_id, s.line, s.n, t.licence, t.m
+  GROUP BY s.u, s.r, s.line, s.n, t.licence, t.m
 ),
 best AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence, line) AS nth FROM scores WHERE score >= {THRESHOLD}::DOUBLE
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, licence, line) AS nth FROM scores WHERE score >= {THRESHOLD}::DOUBLE
 )
-SELECT DISTINCT d.doc_id, b.licence, coalesce(b.score, 0.0::DOUBLE) AS score, CAST(b.line AS INTEGER) AS line
-FROM d LEFT JOIN best b ON b.doc_id = d.doc_id AND b.nth = 1
+SELECT d.doc_id, b.licence, coalesce(b.score, 0.0::DOUBLE) AS score, CAST(b.line AS INTEGER) AS line
+FROM d LEFT JOIN best b ON b.r = d.r AND b.nth = 1
 """

@@ -2,40 +2,45 @@
 
 State of an index, all written tables in the shared folder:
 
-* ``refs``    (digest, doc_id): which document holds which line key, once per row and key;
-* ``counts``  (shard, digest, n, owner): exact reference counts and the smallest holder;
-* ``filters`` (shard, blob): one cuckoo filter per shard over the keys that are counted there.
-
-Inserting documents probes the shard's filter first: a key that it doesn't know is new and needs no
-lookup; a possible hit is looked up exactly. Deleting documents takes their references away, lowers
-counts, finds the next owner, and deletes keys with no reference left from the filter. So any sequence
-of insertions and deletions gives what a fresh build of the remaining documents would give.
+* ``refs``: (digest, doc_id), which document holds which line key, once per row and key;
+* ``generations`` of counts: (shard, digest, n, owner), exact reference counts and the smallest holder; the newest
+  row of a key holds, 0 says that it is gone;
+* ``filters``: (shard, blob, keys, room), one cuckoo filter per shard over the keys that are counted there.
+
+Inserting documents asks the filters first. A key that its filter doesn't know is new and written as it is; only keys
+that a filter may know are looked up in the exact tables, and if there are none, those are not read at all. Deleting
+documents takes their references away, and writes the new counts and owners of the keys that they held; keys without a
+reference leave their filter. So any sequence of insertions and deletions gives what a fresh build of the remaining
+documents would give. Where a filter is full, the index is rebuilt with shards and filters for twice its keys; many
+generations are folded into one.
 
 Defined results: a null or empty text is one empty line; a null doc_id is one more document that sorts
-after every other; rows that repeat a doc_id count as one document; an empty table gives no rows; other
-columns are ignored.
+after every other; rows that repeat a doc_id count as one document; inserting a doc_id that the index holds already is
+an error; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, id_or_last, materialize, real_id, ship, table
+from .common import ASCII_SPACE, long_id, materialize, row_keys, ship, table
 
 MIN_POINTS = 10  # shorter keys are never dropped
 SHARD_KEYS = 200_000  # keys a shard is planned for
 COMBINE_KEYS = 200_000  # keys that a map task counts before it sends them on
+GENERATIONS = 8  # tables of counts, and of references, before they are folded
+LEAST_ROOM = 64  # keys that a filter has room for at least
 
-REF_SCHEMA = "digest binary, doc_id long"
 PART_SCHEMA = "shard int, digest binary, n long, owner long"
-SHARD_SCHEMA = "shard int, digest binary, n long, owner long, blob binary"
+FILTER_SCHEMA = "shard int, blob binary, keys long, room long"
 
 
 def line_key(line: str) -> str:
@@ -104,6 +109,11 @@ class CuckooFilter:
                 return True
         return False
 
+    @property
+    def room(self) -> int:
+        """Keys it is meant for at most."""
+        return int((self.mask + 1) * self.SLOTS * 0.9)
+
     def to_bytes(self) -> bytes:
         flat = np.zeros((self.mask + 1, self.SLOTS), dtype="<u2")
         for i, slots in enumerate(self.table):
@@ -122,15 +132,32 @@ class CuckooFilter:
         return out
 
 
-def _refs_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to one row per document row and line key."""
+def shard_of(digest: bytes, shards: int) -> int:
+    return int.from_bytes(digest[:4], "little") % shards
+
+
+def _smaller(a: int | None, b: int | None) -> int | None:
+    """The smaller id; a null one is the largest."""
+    return b if a is None else a if b is None else min(a, b)
+
+
+def _keys_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, doc_id, row_key) to one row per document row and line key."""
     for b in batches:
-        digests, ids = [], []
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        digests, at = [], []
+        for i, text in enumerate(b.column(0).to_pylist()):
             keys = {k for k in map(line_key, text.split("\n")) if len(k) >= MIN_POINTS}
             digests += map(key_digest, keys)
-            ids += [i] * len(keys)
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64())], names=["digest", "doc_id"])
+            at += [i] * len(keys)
+        rows = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), b.column(1).take(rows), b.column(2).take(rows)], names=["digest", "doc_id", "row_key"])
+
+
+def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(digest, doc_id, row_key) of docs with row keys: the keys of each row's lines."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), long_id(id_col).alias("doc_id"), "row_key")
+    return rows.mapInArrow(_keys_task, f"digest binary, doc_id long, row_key {rows.schema['row_key'].dataType.simpleString()}")
 
 
 def _combine_task(n_shards: int):
@@ -141,7 +168,7 @@ def _combine_task(n_shards: int):
 
         def out() -> pa.RecordBatch:
             keys = list(held)
-            shard = [int.from_bytes(k[:4], "little") % n_shards for k in keys]
+            shard = [shard_of(k, n_shards) for k in keys]
             return pa.RecordBatch.from_arrays(
                 [pa.array(shard, pa.int32()), pa.array(keys, pa.binary()), pa.array([held[k][0] for k in keys], pa.int64()), pa.array([held[k][1] for k in keys], pa.int64())],
                 names=["shard", "digest", "n", "owner"],
@@ -154,8 +181,7 @@ def _combine_task(n_shards: int):
                     held[d] = [1, i]
                 else:
                     e[0] += 1
-                    if i < e[1]:
-                        e[1] = i
+                    e[1] = _smaller(e[1], i)
             if len(held) >= COMBINE_KEYS:
                 yield out()
                 held.clear()
@@ -165,137 +191,149 @@ def _combine_task(n_shards: int):
     return combine
 
 
-def _shard_table(shard: int, counts: dict[bytes, list[int]], cuckoo: CuckooFilter) -> pa.Table:
+def _probe_task(key, parts: pa.Table, filters: pa.Table) -> pa.Table:
+    """A shard's new counts, folded by key, and whether its filter may know them."""
+    counts: dict[bytes, list] = {}
+    for d, n, owner in zip(*(parts.column(c).to_pylist() for c in ("digest", "n", "owner"))):
+        e = counts.get(d)
+        if e is None:
+            counts[d] = [n, owner]
+        else:
+            e[0] += n
+            e[1] = _smaller(e[1], owner)
+    cuckoo = CuckooFilter.from_bytes(filters.column("blob")[0].as_py()) if filters.num_rows else None
     keys = list(counts)
     return pa.table({
-        "shard": pa.array([shard] * (len(keys) + 1), pa.int32()),
-        "digest": pa.array([*keys, None], pa.binary()),
-        "n": pa.array([*(counts[k][0] for k in keys), None], pa.int64()),
-        "owner": pa.array([*(counts[k][1] for k in keys), None], pa.int64()),
-        "blob": pa.array([*[None] * len(keys), cuckoo.to_bytes()], pa.binary()),
+        "shard": pa.array([key[0].as_py()] * len(keys), pa.int32()),
+        "digest": pa.array(keys, pa.binary()),
+        "n": pa.array([counts[k][0] for k in keys], pa.int64()),
+        "owner": pa.array([counts[k][1] for k in keys], pa.int64()),
+        "maybe": pa.array([cuckoo is not None and cuckoo.contains(k) for k in keys], pa.bool_()),
     })
 
 
-def _insert(counts: dict, cuckoo: CuckooFilter, t: pa.Table) -> None:
-    for d, n, owner in zip(*(t.column(c).to_pylist() for c in ("digest", "n", "owner"))):
-        e = counts.get(d) if cuckoo.contains(d) else None
-        if e is None:
+def _filter_task(key, changed: pa.Table, filters: pa.Table) -> pa.Table:
+    """A shard's filter with the keys of n > 0 added and those of n = 0 taken out. A first filter has room for twice its keys."""
+    digests, n = changed.column("digest").to_pylist(), changed.column("n").to_pylist()
+    if filters.num_rows:
+        cuckoo, held = CuckooFilter.from_bytes(filters.column("blob")[0].as_py()), filters.column("keys")[0].as_py()
+    else:
+        cuckoo, held = CuckooFilter(max(LEAST_ROOM, 2 * len(digests))), 0
+    for d, x in zip(digests, n):
+        if x:
             cuckoo.add(d)
-            counts[d] = [n, owner]
-        else:
-            e[0] += n
-            e[1] = min(e[1], owner)
+            held += 1
+        elif cuckoo.remove(d):
+            held -= 1
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([cuckoo.to_bytes()], pa.binary()), "keys": pa.array([held], pa.int64()), "room": pa.array([cuckoo.room], pa.int64())})
 
 
-def _load(t: pa.Table, room: int) -> tuple[dict, CuckooFilter]:
-    counts, blob = {}, None
-    for d, n, owner, x in zip(*(t.column(c).to_pylist() for c in ("digest", "n", "owner", "blob"))):
-        if d is None:
-            blob = x
-        else:
-            counts[d] = [n, owner]
-    if blob is not None:
-        cuckoo = CuckooFilter.from_bytes(blob)
-        if (cuckoo.mask + 1) * cuckoo.SLOTS * 0.9 >= len(counts) + room:
-            return counts, cuckoo
-    cuckoo = CuckooFilter(len(counts) + room)  # a first or a larger one
-    for d in counts:
-        cuckoo.add(d)
-    return counts, cuckoo
-
-
-def _first_insert_task(t: pa.Table) -> pa.Table:
-    counts: dict[bytes, list[int]] = {}
-    cuckoo = CuckooFilter(t.num_rows)
-    _insert(counts, cuckoo, t)
-    return _shard_table(t.column("shard")[0].as_py(), counts, cuckoo)
-
-
-def _insert_task(old: pa.Table, new: pa.Table) -> pa.Table:
-    counts, cuckoo = _load(old, new.num_rows)
-    _insert(counts, cuckoo, new)
-    return _shard_table((new if new.num_rows else old).column("shard")[0].as_py(), counts, cuckoo)
-
-
-def _delete_task(old: pa.Table, changed: pa.Table) -> pa.Table:
-    """changed: the new count and owner of each touched key, count 0 if no reference is left."""
-    counts, cuckoo = _load(old, 0)
-    for d, n, owner in zip(*(changed.column(c).to_pylist() for c in ("digest", "n", "owner"))):
-        if not cuckoo.contains(d):
-            continue
-        if n == 0:
-            if counts.pop(d, None) is not None:
-                cuckoo.remove(d)
-        else:
-            counts[d] = [n, owner]
-    return _shard_table((old if old.num_rows else changed).column("shard")[0].as_py(), counts, cuckoo)
+def _reshard_task(shards: int):
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [shard_of(k, shards) for k in b.column("digest").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(b.column(c) for c in ("digest", "n", "owner"))], names=["shard", "digest", "n", "owner"])
+
+    return again
 
 
 @dataclass(frozen=True)
 class LineIndex:
     """An immutable index; insert and delete give new ones."""
 
-    refs: DataFrame
-    shards: DataFrame
-    n_shards: int
-
-    @property
-    def counts(self) -> DataFrame:
-        return self.shards.where(F.col("digest").isNotNull()).drop("blob")
-
-    @property
-    def filters(self) -> DataFrame:
-        return self.shards.where(F.col("digest").isNull()).select("shard", "blob")
+    shards: int = 0
+    refs: tuple[DataFrame, ...] = field(default=())
+    generations: tuple[DataFrame, ...] = field(default=())
+    filters: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        ship(docs.sparkSession)
-        refs = materialize(_refs(docs, id_col, text_col), "line-refs")
-        n_refs = refs.count()
-        n_shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_refs // SHARD_KEYS))
-        parts = refs.mapInArrow(_combine_task(n_shards), PART_SCHEMA)
-        return cls(refs, materialize(parts.groupBy("shard").applyInArrow(_first_insert_task, SHARD_SCHEMA), "line-shards", n_refs), n_shards)
+        return cls().insert(docs, id_col, text_col)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        """Add documents whose ids are not in the index yet."""
-        new = materialize(_refs(docs, id_col, text_col), "line-refs")
-        parts = new.mapInArrow(_combine_task(self.n_shards), PART_SCHEMA)
-        shards = self.shards.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(_insert_task, SHARD_SCHEMA)
-        return LineIndex(self.refs.unionByName(new), materialize(shards, "line-shards"), self.n_shards)
+        """With more documents. Their ids must not be in the index yet."""
+        return self.insert_keys(materialize(line_keys(row_keys(docs), id_col, text_col), "line-refs"))
+
+    def insert_keys(self, keys: DataFrame) -> LineIndex:
+        """With the documents of written line keys."""
+        spark, new = keys.sparkSession, keys.select("digest", "doc_id")
+        if self.refs:
+            held = reduce(DataFrame.unionByName, self.refs).select(F.col("doc_id").alias("held"))
+            again = new.select("doc_id").distinct().join(held, F.col("doc_id").eqNullSafe(F.col("held")), "left_semi").limit(1).collect()
+            if again:
+                raise ValueError(f"document {again[0]['doc_id']} is in the index already")
+        n_refs = keys.count()
+        shards = self.shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_refs // SHARD_KEYS))
+        filters = self.filters if self.filters is not None else spark.createDataFrame([], FILTER_SCHEMA)
+        parts = new.mapInArrow(_combine_task(shards), PART_SCHEMA)
+        probed = materialize(parts.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_probe_task, PART_SCHEMA + ", maybe boolean"), "line-new", n_refs)
+        maybe = probed.where("maybe").drop("maybe")
+        changed = added = probed.where("not maybe").drop("maybe")
+        if self.generations and maybe.limit(1).count():
+            old = self._exact(maybe.select("digest")).select("digest", F.col("n").alias("old_n"), F.col("owner").alias("old_owner"))
+            looked = materialize(maybe.join(old, "digest", "left"), "line-hits", n_refs)
+            merged = looked.select("shard", "digest", (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("n"), F.least("owner", "old_owner").alias("owner"))
+            changed, added = changed.unionByName(merged), added.unionByName(looked.where("old_n is null").select("shard", "digest", "n", "owner"))
+        kept = added.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_filter_task, FILTER_SCHEMA)
+        return LineIndex(shards, (*self.refs, new), (*self.generations, changed), materialize(kept, "line-filters"))._tidy()
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
-        """Take documents out again."""
-        gone = ids.select(id_or_last(id_col).alias("doc_id")).distinct()
-        left = materialize(self.refs.join(gone, "doc_id", "left_anti"), "line-refs")
-        touched = self.refs.join(gone, "doc_id", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("removed"))
-        now = left.join(touched.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("owner"))
-        changed = touched.join(now, "digest", "left").select("digest", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "owner")
-        n_shards = self.n_shards
-
-        def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                shard = [int.from_bytes(k[:4], "little") % n_shards for k in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *b.columns], names=["shard", "digest", "n", "owner"])
-
-        parts = changed.mapInArrow(to_shards, PART_SCHEMA)
-        shards = self.shards.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(_delete_task, SHARD_SCHEMA)
-        return LineIndex(left, materialize(shards, "line-shards"), n_shards)
-
-    def drops(self) -> DataFrame:
-        """(doc_id, digests): the keys each document loses. A very common key is a skewed join, which AQE splits."""
-        several = self.counts.where("n > 1").select("digest", "owner")
-        lost = self.refs.join(several, "digest").where("doc_id <> owner")
-        return lost.groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
+        """Without these documents."""
+        if not self.refs:
+            return self
+        gone = materialize(ids.select(long_id(id_col).alias("gone")).distinct(), "line-gone")
+        same = F.col("doc_id").eqNullSafe(F.col("gone"))
+        every = reduce(DataFrame.unionByName, self.refs)
+        left = tuple(r.join(gone, same, "left_anti") for r in self.refs)
+        touched = materialize(every.join(gone, same, "left_semi").select("digest").distinct(), "line-touched")
+        now = reduce(DataFrame.unionByName, left).join(touched, "digest", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("owner"))
+        counted = touched.join(now, "digest", "left").select("digest", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "owner")
+        changed = materialize(counted.mapInArrow(_reshard_task(self.shards), PART_SCHEMA), "line-changed")
+        kept = changed.where("n = 0").groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_filter_task, FILTER_SCHEMA)
+        return LineIndex(self.shards, left, (*self.generations, changed), materialize(kept, "line-filters"))._tidy(deleted=True)
+
+    def _tidy(self, deleted: bool = False) -> LineIndex:
+        """Filters and shards for twice the keys where a filter is full; one table of counts and references where they are many."""
+        refs, generations, filters, shards = self.refs, self.generations, self.filters, self.shards
+        load = filters.agg(F.max(F.col("keys") - F.col("room")).alias("over"), F.sum("keys").alias("keys")).collect()[0]  # one row
+        full = load["over"] is not None and load["over"] > 0
+        if full or len(generations) > GENERATIONS:
+            if full:
+                shards = max(shards, -(-2 * load["keys"] // SHARD_KEYS))
+            generations = (materialize(self._exact().mapInArrow(_reshard_task(shards), PART_SCHEMA), "line-counts", load["keys"]),)
+            if full:
+                none = filters.sparkSession.createDataFrame([], FILTER_SCHEMA)
+                filters = materialize(generations[0].groupBy("shard").cogroup(none.groupBy("shard")).applyInArrow(_filter_task, FILTER_SCHEMA), "line-filters")
+        if deleted or len(refs) > GENERATIONS:
+            refs = (materialize(reduce(DataFrame.unionByName, refs), "line-refs"),)
+        return LineIndex(shards, refs, generations, filters)
+
+    def _exact(self, keys: DataFrame | None = None) -> DataFrame:
+        """Exact counts (shard, digest, n, owner) of all keys or of these."""
+        parts = [g if keys is None else g.join(keys, "digest", "left_semi") for g in self.generations]
+        if len(parts) == 1:
+            return parts[0].select("shard", "digest", "n", "owner").where("n > 0")
+        every = reduce(DataFrame.unionByName, (g.select("shard", "digest", "n", "owner", F.lit(i).alias("generation")) for i, g in enumerate(parts)))
+        newest = every.groupBy("digest").agg(F.max_by(F.struct("shard", "n", "owner"), "generation").alias("x"))
+        return newest.select("x.shard", "digest", "x.n", "x.owner").where("n > 0")
+
+    @property
+    def counts(self) -> DataFrame:
+        return self._exact().drop("shard")
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Per input row: id, n_lines, n_dropped, the text that stays."""
-        rows = docs.select(id_or_last(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        marked = rows.join(self.drops(), "doc_id", "left").select("doc_id", "text", "digests")
-        return marked.mapInArrow(_apply_task, "doc_id long, n_lines long, n_dropped long, text string").withColumn("doc_id", real_id("doc_id")).withColumnRenamed("doc_id", id_col)
+        named = row_keys(docs)
+        return self.apply_keys(named, line_keys(named, id_col, text_col), id_col, text_col)
 
-
-def _refs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(id_or_last(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_refs_task, REF_SCHEMA)
+    def apply_keys(self, named: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The same for rows with row keys whose line keys are at hand. A very common key is a skewed join, which AQE splits."""
+        several = self.counts.where("n > 1").select("digest", "owner")
+        lost = keys.join(several, "digest").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
+        drops = lost.groupBy("row_key").agg(F.collect_set("digest").alias("digests"))  # no more than the row's lines
+        rows = named.select(long_id(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "row_key")
+        marked = rows.join(drops, "row_key", "left").select("doc_id", "text", "digests")
+        return marked.mapInArrow(_apply_task, "doc_id long, n_lines long, n_dropped long, text string").withColumnRenamed("doc_id", id_col)
 
 
 def _apply_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,9 +355,15 @@ def _apply_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Build an index of the documents and apply it to them: each line is read once."""
+    named = row_keys(docs)
+    keys = materialize(line_keys(named, id_col, text_col), "line-refs")
+    return LineIndex().insert_keys(keys).apply_keys(named, keys, id_col, text_col)
+
+
 def op4_line_dedup(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return LineIndex.build(docs).apply(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 OP4_SQL = r"""

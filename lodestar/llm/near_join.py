@@ -1,19 +1,27 @@
 """Near-duplicate join on word shingles: MinHash LSH forest with exact verification.
 
-Each text has one signature for each tree of the forest. In a tree, signatures are sorted by prefix; two
-texts meet where their prefixes match. Matching starts at the full depth and is shortened until pairs at
-the threshold meet in one tree at least with the target probability. Texts that meet are compared by all
-their signature values; those that may be similar are linked, and the links' connected parts are verified
-exactly, on the sets of shingles, block against block.
-
-No pair ever becomes a row: blocks return, for each text, how many documents it is linked to, and a
-spanning forest of the links. Copies (the same words in the same order) are one text with a weight.
-
-Nothing grows on the driver; large buckets and parts are cut into blocks of a bounded number of texts.
+Each text has a label in each of TREES trees: DEPTH MinHash values, in order. Sorted labels are the tree's prefix
+trie: texts whose labels share a prefix lie side by side. The join climbs the tries from the leaves: texts whose
+whole labels match meet first, then the matched prefix is shortened by one value at a time. Two texts meet once, in
+the first tree in which they share the longest prefix that they share in any tree.
+
+How far a text climbs follows from what it has found. A pair of similarity s has met by prefix length l with
+p(s, l) = 1 - (1 - s**l)**TREES. After each step, a text adds up what it should still miss: (1 - p) / p for each link
+found, at the link's estimated similarity, and 1 - p at the threshold for a link that it may not have seen at all. It
+stops once that is at most 1 - target of its links (or of one link): texts amid many close copies stop on long
+prefixes, texts alone climb until a pair at the threshold is found with the target probability. A stopped text still
+meets those that climb on.
+
+Texts that meet and whose signatures agree enough are candidates. Candidates never become rows: buckets are dealt to
+cells of bounded blocks, and a cell names the texts of which it has candidates. Only these texts are sent there, and
+their candidate pairs are verified exactly, on the sets of shingles. What comes back is, for each text, how many
+documents it is linked to, and a spanning forest of the links. Copies (the same words in the same order) are one text
+with a weight. Rows are told apart by their place in the input, never by their id.
 
 Defined results: a text without words (null and empty ones too) has a class of its own and no links; texts
-of fewer words than a shingle has are one shingle; a null id sorts after all others; rows that repeat an id
-and text are copies of each other; an empty table gives no rows; other columns are ignored.
+of fewer words than a shingle has are one shingle; a null id sorts after all others, and a class without an id has a
+null class_id; rows that repeat an id and text are copies of each other; ``kept`` marks one row of each class, that
+with the smallest id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,28 +29,31 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_last, materialize, real_id, ship, slices, table
+from .common import discard, long_id, materialize, row_keys, ship, slices, table
 from .text_features import shingles, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, TARGET = 16, 6, 0.995
+TREES, DEPTH, TARGET = 20, 7, 0.9995
 BLOCK = 512  # texts of one side of a comparison
 LOSS = 1 / 1000  # share of the misses that the target allows which the comparison of signatures may add
 _CHUNK = 1 << 15
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
-    """The longest prefix, from the full depth down, with which a pair at the threshold is found with the target probability."""
-    length = depth
-    while length > 1 and 1 - (1 - threshold**length) ** trees < target:
-        length -= 1
-    return length
+def met_by(similarity: float | np.ndarray, length: int) -> float | np.ndarray:
+    """The probability that a pair shares a prefix of this length in one of the trees."""
+    return 1 - (1 - similarity**length) ** TREES
+
+
+def shortest_prefix(threshold: float = THRESHOLD, target: float = TARGET) -> int:
+    """Where every text stops: the longest prefix with which a pair at the threshold is found with the target probability."""
+    return next((n for n in range(DEPTH, 1, -1) if met_by(threshold, n) >= target), 1)
 
 
 def least_equal(threshold: float = THRESHOLD, target: float = TARGET, values: int = TREES * DEPTH) -> int:
@@ -81,40 +92,23 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _bucket_numbers(sig: np.ndarray, length: int) -> np.ndarray:
-    """For each row and tree, a 64-bit name of the tree's prefix."""
-    with np.errstate(over="ignore"):
-        out = np.empty((len(sig), TREES), dtype=np.uint64)
-        for t in range(TREES):
-            h = np.full(len(sig), t + 1, dtype=np.uint64)
-            for v in sig[:, t * DEPTH : t * DEPTH + length].T:
-                h = (h ^ v) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            out[:, t] = h
-    return out
-
-
-def _sign_task(length: int):
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in slices(texts, 1 << 21):
-                words = [word_hashes(t) for t in texts[lo:hi]]
-                some = [i for i, w in enumerate(words) if len(w)]
-                sets = [shingles(words[i], WORDS) for i in some]
-                sig = signatures(sets)
-                buckets = _bucket_numbers(sig, length).view(np.int64)
-                short = ((sig * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype("<u2")
-                digest, size, mark, prefix = [None] * (hi - lo), [0] * (hi - lo), [None] * (hi - lo), [None] * (hi - lo)
-                for k, i in enumerate(some):
-                    digest[i] = hashlib.blake2b(words[i].tobytes(), digest_size=16).digest()
-                    size[i], mark[i], prefix[i] = len(sets[k]), short[k].tobytes(), buckets[k].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi], pa.int64()), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(mark, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["id", "digest", "size", "mark", "buckets"],
-                )
-
-    return sign
+def _sign_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, row key, id) to row key, id, digest of the words, number of shingles, and the labels of all trees, two bytes a value."""
+    for b in batches:
+        texts = b.column(0).to_pylist()
+        for lo, hi in slices(texts, 1 << 21):
+            words = [word_hashes(t) for t in texts[lo:hi]]
+            some = [i for i, w in enumerate(words) if len(w)]
+            sets = [shingles(words[i], WORDS) for i in some]
+            labels = ((signatures(sets) * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype("<u2")
+            digest, size, mark = [None] * (hi - lo), [0] * (hi - lo), [None] * (hi - lo)
+            for k, i in enumerate(some):
+                digest[i] = hashlib.blake2b(words[i].tobytes(), digest_size=16).digest()
+                size[i], mark[i] = len(sets[k]), labels[k].tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(1).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(mark, pa.binary())],
+                names=["row_key", "id", "digest", "size", "mark"],
+            )
 
 
 class Forest:
@@ -134,20 +128,17 @@ class Forest:
         if i != j:
             self.up[max(i, j)] = min(i, j)
 
-    def edges(self) -> list[tuple[int, int]]:
-        return [(i, r) for i in range(len(self.up)) if (r := self.root(i)) != i]
 
-
-def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
-    """Runs of rows with the same first n_keys columns, of sorted batches; many whole runs at once are not split."""
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of rows with the same values in the named columns, of sorted batches; many whole runs at once are not split."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        keys = [b.column(i).to_pylist() for i in range(n_keys)]
+        keys = [b.column(n).to_pylist() for n in names]
         edges = [i for i in range(1, b.num_rows) if any(k[i] != k[i - 1] for k in keys)]
         if held:
-            last = tuple(held[-1].column(i)[-1].as_py() for i in range(n_keys))
+            last = tuple(held[-1].column(n)[-1].as_py() for n in names)
             if last != tuple(k[0] for k in keys):
                 edges.insert(0, 0)
         start = 0
@@ -162,48 +153,63 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def _alike(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, threshold: float, least: int, same: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of a, the rows of b (behind it, if it is the same block) that may be similar."""
-    for i in range(len(a)):
-        first = i + 1 if same else 0
-        fit = first + np.flatnonzero((sizes_b[first:] >= threshold * sizes_a[i]) & (sizes_a[i] >= threshold * sizes_b[first:]))
-        if len(fit):
-            fit = fit[(b[fit] == a[i]).sum(axis=1) >= least]
-        if len(fit):
-            yield i, fit
+class Cell:
+    """Texts of one or two blocks of a bucket, and which pairs of them are candidates there."""
+
+    def __init__(self, t: pa.Table, length: int, threshold: float, least: int):
+        self.tree, self.length, self.threshold, self.least = t.column("tree")[0].as_py(), length, threshold, least
+        self.sizes, self.active = t.column("size").to_numpy(), t.column("active").to_numpy(zero_copy_only=False)
+        self.marks = np.frombuffer(b"".join(t.column("mark").to_pylist()), "<u2").reshape(t.num_rows, TREES, DEPTH)
+        self.same = t.column("one")[0].as_py() == t.column("two")[0].as_py()
+        side = t.column("side").to_numpy()
+        self.one = np.arange(t.num_rows) if self.same else np.flatnonzero(side == 0)
+        self.two = self.one if self.same else np.flatnonzero(side == 1)
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each text of the first block: those that it meets here and nowhere else, and their estimated similarities."""
+        for k, i in enumerate(self.one):
+            fit = self.two[k + 1 :] if self.same else self.two
+            near = (self.sizes[fit] >= self.threshold * self.sizes[i]) & (self.sizes[i] >= self.threshold * self.sizes[fit])
+            fit = fit[near if self.active[i] else near & self.active[fit]]
+            if not len(fit):
+                continue
+            equal = self.marks[fit] == self.marks[i]
+            share = equal.sum(axis=(1, 2))
+            enough = share >= self.least
+            fit, equal, share = fit[enough], equal[enough], share[enough]
+            if not len(fit):
+                continue
+            here = equal[:, :, : self.length].all(axis=2)
+            first = here[:, self.tree] & ~here[:, : self.tree].any(axis=1)
+            if self.length < DEPTH:
+                first &= ~(here & equal[:, :, self.length]).any(axis=1)
+            if first.any():
+                yield int(i), fit[first], share[first] / (TREES * DEPTH)
 
 
-def _meet_task(threshold: float, least: int):
-    """Cells of buckets, sorted: (bucket, one, two, side, digest, size, mark) to edges of texts that may be similar."""
+def _meet_task(length: int, threshold: float, least: int):
+    """Cells, sorted, to the texts that have candidates there: how many likely links, and how many more each prefix length should miss."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = [], []
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
-
-        for t in _groups(batches, 3):
+        names = ["prefix", "tree", "one", "two", "side", "digest", "active"]
+        for t in _groups(batches, ("prefix", "tree", "one", "two")):
             if t.num_rows < 2:
                 continue
-            side = t.column("side").to_numpy()
-            digests = t.column("digest").to_pylist()
-            sizes = t.column("size").to_numpy()
-            marks = np.frombuffer(b"".join(t.column("mark").to_pylist()), "<u2").reshape(t.num_rows, -1)
-            forest = Forest(t.num_rows)
-            same = t.column("one")[0].as_py() == t.column("two")[0].as_py()
-            one = np.arange(t.num_rows) if same else np.flatnonzero(side == 0)
-            two = one if same else np.flatnonzero(side == 1)
-            for i, fit in _alike(marks[one], marks[two], sizes[one], sizes[two], threshold, least, same):
-                for j in two[fit]:
-                    forest.join(int(one[i]), int(j))
-            for i, r in forest.edges():
-                left.append(digests[i])
-                right.append(digests[r])
-            if len(left) > 50_000:
-                yield out()
-                left, right = [], []
-        if left:
-            yield out()
+            cell = Cell(t, length, threshold, least)
+            needed, found, missing = np.zeros(t.num_rows, bool), np.zeros(t.num_rows, np.int64), np.zeros((t.num_rows, DEPTH))
+            for i, fit, share in cell.candidates():
+                needed[i] = needed[fit] = True
+                link = share >= threshold
+                fit, p = fit[link], np.stack([met_by(share[link], n) for n in range(1, DEPTH + 1)], axis=1)
+                found[i] += len(fit)
+                found[fit] += 1
+                missing[i] += ((1 - p) / p).sum(axis=0)
+                missing[fit] += (1 - p) / p
+            if needed.any():
+                at = pa.array(np.flatnonzero(needed))
+                kept = t.select(names).take(at)
+                kept = kept.append_column("found", pa.array(found[needed])).append_column("missing", pa.array(missing[needed].tolist(), pa.list_(pa.float64())))
+                yield from kept.combine_chunks().to_batches()
 
     return meet
 
@@ -232,111 +238,136 @@ def _common(one: list[np.ndarray], two: list[np.ndarray], same: bool) -> np.ndar
     return total
 
 
-def _verify_task(threshold: float):
-    """Cells of parts, sorted: (part, one, two, side, digest, copies, text) to links of each text and a forest of them."""
+def _pairwise(cell: Cell, sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each text, its candidates that are links: by matrix products where candidates are many, pair by pair where they are few."""
+    pairs = [(i, fit) for i, fit, _ in cell.candidates()]
+    sizes = np.array([len(x) for x in sets])
+    if sum(len(fit) for _, fit in pairs) > 4 * len(sets):
+        place = np.zeros(len(sets), int)
+        place[cell.one] = np.arange(len(cell.one))
+        if not cell.same:
+            place[cell.two] = np.arange(len(cell.two))
+        every = _common([sets[i] for i in cell.one], [sets[i] for i in cell.two], cell.same)
+        common = lambda i, fit: every[place[i], place[fit]]
+    else:
+        common = lambda i, fit: np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in fit], dtype=np.float64)
+    for i, fit in pairs:
+        shared = common(i, fit)
+        yield i, fit[shared >= cell.threshold * (sizes[i] + sizes[fit] - shared) - 1e-9]
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["digest", "root", "links"]
-            )
+def _verify_task(threshold: float, least: int):
+    """Cells with their texts, sorted, to the links of each text and a forest of them."""
 
-        for t in _groups(batches, 3):
-            same = t.column("one")[0].as_py() == t.column("two")[0].as_py()
-            known: dict[tuple[int, bytes], tuple[np.ndarray, int]] = {}
-            for side, digest, copies, text in zip(*(t.column(c).to_pylist() for c in ("side", "digest", "copies", "text"))):
-                words = word_hashes(text)  # an id that several texts share brings others: only the text of this digest counts
-                if (side, digest) not in known and hashlib.blake2b(words.tobytes(), digest_size=16).digest() == digest:
-                    known[side, digest] = (shingles(words, WORDS), copies)
-            sides = [[k for k in known if same or k[0] == s] for s in (0, 1)]
-            if same:
-                sides[1] = sides[0]
-            if not sides[0] or not sides[1]:
-                continue
-            sets = [[known[k][0] for k in s] for s in sides]
-            weights = [np.array([known[k][1] for k in s], dtype=np.int64) for s in sides]
-            sizes = [np.array([len(x) for x in s], dtype=np.float64) for s in sets]
-            common = _common(*sets, same)
-            linked = common >= threshold * (sizes[0][:, None] + sizes[1][None, :] - common) - 1e-9
-            if same:
-                np.fill_diagonal(linked, False)
-            names = [k[1] for k in sides[0]] + ([] if same else [k[1] for k in sides[1]])
-            forest = Forest(len(names))
-            for i, j in np.argwhere(linked):
-                forest.join(int(i), int(j) + (0 if same else len(sides[0])))
-            links = linked @ weights[1] if same else np.concatenate([linked @ weights[1], linked.T @ weights[0]])
-            rows += [(d, names[forest.root(i)], int(n)) for i, (d, n) in enumerate(zip(names, links)) if n]
-            if len(rows) > 50_000:
-                yield out()
-                rows = []
-        if rows:
-            yield out()
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ("prefix", "tree", "one", "two")):
+            cell = Cell(t, len(t.column("prefix")[0].as_py()) // 2, threshold, least)
+            sets = [shingles(word_hashes(x), WORDS) for x in t.column("text").to_pylist()]
+            copies, names = t.column("copies").to_numpy(), t.column("digest").to_pylist()
+            links, forest = np.zeros(t.num_rows, np.int64), Forest(t.num_rows)
+            for i, fit in _pairwise(cell, sets):
+                links[i] += copies[fit].sum()
+                links[fit] += copies[i]
+                for j in fit:
+                    forest.join(i, int(j))
+            some = np.flatnonzero(links)
+            if len(some):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[i] for i in some], pa.binary()), pa.array([names[forest.root(int(i))] for i in some], pa.binary()), pa.array(links[some])], names=["digest", "root", "links"]
+                )
 
     return verify
 
 
-def in_cells(df: DataFrame, key: str, count: Column, block: int) -> DataFrame:
+def in_cells(df: DataFrame, key: list[str], count: Column, block: int) -> DataFrame:
     """Rows of a key dealt to the cells (one, two) of its blocks, so that every two rows of a key meet in exactly one cell."""
     blocks = F.ceil(count / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("digest"), blocks).cast("int")
     dealt = df.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("one"), 0).otherwise(1)
-    return dealt.withColumn("side", side).drop("blocks", "own", "other").repartition(key, "one", "two").sortWithinPartitions(key, "one", "two", "side", "digest")
+    return together(dealt.withColumn("side", side).drop("blocks", "own", "other"), key)
+
 
+def together(cells: DataFrame, key: list[str]) -> DataFrame:
+    return cells.repartition(*key, "one", "two").sortWithinPartitions(*key, "one", "two", "side", "digest")
 
-def connected(edges: DataFrame, name: str, rows: int, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+
+def connected(edges: DataFrame, name: str, rows: int, a: str = "a", b: str = "b") -> DataFrame:
     """(node, part): the smallest node that edges connect a node to. Smallest labels spread over edges and along themselves.
 
     rows: about how many nodes there may be.
     """
     both = materialize(edges.select(a, b).unionByName(edges.select(F.col(b).alias(a), F.col(a).alias(b))).distinct(), f"{name}-edges", rows)
     labels = materialize(both.groupBy(F.col(a).alias("node")).agg(F.min(b).alias("m")).select("node", F.least("node", "m").alias("part")), f"{name}-labels", rows)
-    for _ in range(most):
+    while True:
         near = both.join(labels.select(F.col("node").alias(b), "part"), b).groupBy(F.col(a).alias("node")).agg(F.min("part").alias("m"))
         spread = labels.join(near, "node").select("node", F.col("part").alias("was"), F.least("part", "m").alias("part"))
         up = labels.select(F.col("node").alias("part"), F.col("part").alias("upper"))
         new = materialize(spread.join(up, "part", "left").select("node", "was", F.least("part", F.coalesce("upper", "part")).alias("part")), f"{name}-labels", rows)
         done = new.where("part <> was").limit(1).count() == 0
-        labels = new.drop("was")
+        discard(labels)
+        labels = new
         if done:
-            return labels
-    raise RuntimeError(f"components still change after {most} rounds")
-
-
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", target: float = TARGET) -> DataFrame:
-    """One row per input row: id, class_id (smallest id of its connected near duplicates), copy_id (smallest id of its copies), n_links."""
+            discard(both)
+            return labels.drop("was")
+
+
+def climb(texts: DataFrame, threshold: float = THRESHOLD, target: float = TARGET, rows: int | None = None) -> DataFrame:
+    """texts (digest, size, mark) to the cells in which they have candidates: prefix, tree, one, two, side, digest, active, found, missing."""
+    least, floor = least_equal(threshold, target), shortest_prefix(threshold, target)
+    prefix = lambda n: F.expr(f"substring(mark, {2 * DEPTH} * tree + 1, {2 * n})")
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    # a text that is alone on its shortest prefixes never meets another one
+    entries = texts.select("digest", "mark", trees.alias("tree")).select("digest", "tree", prefix(floor).alias("prefix"))
+    several = entries.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = materialize(entries.join(several, ["tree", "prefix"]).select("digest", "tree").join(texts.select("digest", "size", "mark"), "digest"), "members")
+    still, met = members.withColumn("active", F.lit(True)), []
+    for length in range(DEPTH, floor - 1, -1):
+        placed = still.withColumn("prefix", prefix(length))
+        sizes = placed.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.max("active").alias("any")).where("n > 1 and any").drop("any")
+        cells = in_cells(placed.join(sizes, ["tree", "prefix"]), ["tree", "prefix"], F.col("n"), BLOCK).select("prefix", "tree", "one", "two", "side", "digest", "size", "mark", "active")
+        schema = "prefix binary, tree int, one int, two int, side int, digest binary, active boolean, found long, missing array<double>"
+        met.append(materialize(cells.mapInArrow(_meet_task(length, threshold, least), schema), f"met-{length}", rows))
+        if length > floor:
+            told = reduce(DataFrame.unionByName, met).groupBy("digest").agg(F.sum("found").alias("found"), F.sum(F.col("missing")[length - 1]).alias("missing"))
+            stopped = told.where(F.col("missing") + (1 - met_by(threshold, length)) <= (1 - target) * F.greatest(F.col("found"), F.lit(1))).select("digest", F.lit(True).alias("stopped"))
+            still = members.join(stopped, "digest", "left").withColumn("active", F.col("stopped").isNull()).drop("stopped")
+    return reduce(DataFrame.unionByName, met)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", target: float = TARGET, row_key: str | None = None) -> DataFrame:
+    """One row per input row: id, class_id (smallest id of its connected near duplicates), copy_id (smallest id of its copies), n_links, kept.
+
+    row_key: a column that names each row, the same on every reading; it is then a column of the result too.
+    """
     ship(docs.sparkSession)
-    rows = docs.select(id_or_last(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = materialize(rows.mapInArrow(_sign_task(prefix_length(threshold, target=target)), "id long, digest binary, size int, mark binary, buckets array<long>"), "signed")
+    named = row_keys(docs) if row_key is None else docs.withColumn("row_key", F.col(row_key))
+    rows = named.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "row_key", long_id(id_col).alias("id"))
+    key_type = rows.schema["row_key"].dataType.simpleString()
+    signed = materialize(rows.mapInArrow(_sign_task, f"row_key {key_type}, id long, digest binary, size int, mark binary"), "signed")
     n_rows = signed.count()
     worded = signed.where(F.col("digest").isNotNull())
-    copies = materialize(worded.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("mark").alias("mark"), F.first("buckets").alias("buckets")), "texts", n_rows)
-
-    entries = copies.select("digest", F.explode("buckets").alias("bucket"))
-    several = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = entries.join(several, "bucket").join(copies.select("digest", "size", "mark"), "digest")
-    cells = in_cells(members, "bucket", F.col("n"), BLOCK * 4).select("bucket", "one", "two", "side", "digest", "size", "mark")
-    maybe = cells.mapInArrow(_meet_task(threshold, least_equal(threshold, target)), "a binary, b binary").distinct()
-    parts = connected(maybe, "maybe", n_rows)
-
-    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    asked = parts.join(sizes, "part").withColumnRenamed("node", "digest").join(copies.select("digest", "rep", "copies"), "digest").withColumnRenamed("rep", "id")
-    texts = in_cells(asked.join(rows, "id"), "part", F.col("n"), BLOCK).select("part", "one", "two", "side", "digest", "copies", "text")
-    links = materialize(texts.mapInArrow(_verify_task(threshold), "digest binary, root binary, links long"), "links")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_key")).alias("first")  # ids in order, then rows without one
+    copies = materialize(worded.groupBy("digest").agg(first, F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("mark").alias("mark")), "texts", n_rows)
+
+    met = climb(copies.select("digest", "size", "mark"), threshold, target, n_rows).drop("found", "missing")
+    asked = met.join(copies.select("digest", "size", "mark", "copies", F.col("first.row_key").alias("row_key")), "digest")
+    cells = together(asked.join(rows.select("row_key", "text"), "row_key").drop("row_key"), ["prefix", "tree"])
+    links = materialize(cells.mapInArrow(_verify_task(threshold, least_equal(threshold, target)), "digest binary, root binary, links long"), "links", n_rows)
     classes = connected(links.where("digest <> root"), "classes", n_rows, "digest", "root")
 
     counted = links.groupBy("digest").agg(F.sum("links").alias("links"))
-    nodes = copies.select("digest", "rep", "copies").join(counted, "digest", "left").join(classes.withColumnRenamed("node", "digest"), "digest", "left").withColumn("part", F.coalesce("part", "digest"))
-    firsts = nodes.groupBy("part").agg(F.min("rep").alias("class_id"))
-    known = nodes.join(firsts, "part").select("digest", "class_id", F.col("rep").alias("copy_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
-    out = worded.select("id", "digest").join(known, "digest").drop("digest").unionByName(
-        signed.where(F.col("digest").isNull()).select("id", F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    nodes = copies.select("digest", "first", "copies").join(counted, "digest", "left").join(classes.withColumnRenamed("node", "digest"), "digest", "left").withColumn("part", F.coalesce("part", "digest"))
+    heads = nodes.groupBy("part").agg(F.min("first").alias("head"))
+    links_of = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long")
+    known = nodes.join(heads, "part").select("digest", F.col("head.id").alias("class_id"), F.col("head.row_key").alias("head"), F.col("first.id").alias("copy_id"), links_of.alias("n_links"))
+    out = worded.select("id", "row_key", "digest").join(known, "digest").withColumn("kept", F.col("row_key") == F.col("head")).drop("digest", "head").unionByName(
+        signed.where(F.col("digest").isNull()).select("id", "row_key", F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
     )
-    return out.select(real_id("id").alias(id_col), real_id("class_id").alias("class_id"), real_id("copy_id").alias("copy_id"), "n_links")
+    named_key = [] if row_key is None else [F.col("row_key").alias(row_key)]
+    return out.select(F.col("id").alias(id_col), "class_id", "copy_id", "n_links", "kept", *named_key)
 
 
 def op5_near_join(spark, sf_dir) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")

@@ -16,12 +16,12 @@ Bins with the same content are one run of the plan, so its size does not follow
 among those of its length, computed over salted blocks, then says in which bin it lies and where.
 
 Ids: those of the ``tokenizers`` vocabulary file, by a faster engine over the same vocabulary and merges
-(tests compare both). ``encode_special_tokens`` is that library's switch: false, as in the library and in
+(tests compare both). It merges in the order of ids, so a file whose merges have another order is refused. ``encode_special_tokens`` is that library's switch: false, as in the library and in
 the registered query, the strings of the file's added tokens are those tokens' ids; true, they are ordinary
 text. Each document ends in ``end_id``.
 
-Defined results: a null text is an empty one and gives one piece of the end id; a null doc_id sorts after
-all others; rows that repeat a doc_id are packed as documents of their own; an empty table gives no rows;
+Defined results: a null text is an empty one and gives one piece of the end id; rows that have no doc_id or
+repeat one are packed as documents of their own; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_or_last, materialize, real_id, ship, slices, table
+from .common import long_id, materialize, ship, slices, table
 
 CAPACITY, END_ID = 1024, 2
 GROUPS = 60  # few sizes: equal-cardinality groups of the large lengths
@@ -64,7 +64,12 @@ def engine(path: str):
             raise ValueError(f"{path}: added tokens that match more or less than their own text")
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(visible))}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and not (token.startswith("<|") and token.endswith("|>"))}
+        special = {t["content"] for t in added}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"])
+        made = [vocab["".join(p)] for p in pairs]
+        if made != sorted(made) or len(made) + 256 != len(ranks) or max(ranks[bytes([i])] for i in range(256)) >= min(made, default=256):
+            raise ValueError(f"{path}: merges that are not in the order of ids")
         _engines[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
     return _engines[path]
 
@@ -96,7 +101,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(id_or_last(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(task, PIECE_SCHEMA)
+    return docs.select(long_id(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(task, PIECE_SCHEMA)
 
 
 def grouped(counts: dict[int, int], groups: int) -> list[list[list[int]]]:
@@ -258,18 +263,18 @@ def places(runs: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.ndarra
 
 
 def ranked(rows: DataFrame, histogram: dict[int, int], block: int = BLOCK) -> DataFrame:
-    """rows with their rank among those of the same length. A length of many pieces is ranked in salted blocks."""
+    """Written rows with their rank among those of the same length, by their number in the table. A length of many pieces is ranked in salted blocks."""
     spark = rows.sparkSession
     salts = spark.createDataFrame([(int(n), int(-(-c // block))) for n, c in histogram.items()], "length long, salts int")
-    salted = rows.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")))
+    salted = rows.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")))
     sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
-    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
-    return salted.withColumn("nth", nth).join(before, ["length", "salt"]).withColumn("rank", F.col("nth") + F.coalesce("before", F.lit(0))).drop("salt", "salts", "nth", "before")
+    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1
+    return salted.withColumn("nth", nth).join(before, ["length", "salt"]).withColumn("rank", F.col("nth") + F.coalesce("before", F.lit(0))).drop("salt", "salts", "nth", "before", "row")
 
 
 def pack(token_pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
-    """Adds sequence_id and offset to written token pieces."""
+    """Adds sequence_id and offset to written token pieces, numbered by ``row``."""
     spark = token_pieces.sparkSession
     ship(spark)
     histogram = {r["length"]: r["n"] for r in token_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
@@ -292,8 +297,9 @@ def pack(token_pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, encode_special_tokens: bool = True) -> DataFrame:
-    cut_up = materialize(pieces(docs, path, id_col, text_col, capacity, encode_special_tokens=encode_special_tokens), "pieces")
-    return pack(cut_up, capacity).withColumn("doc_id", real_id("doc_id")).withColumnRenamed("doc_id", id_col)
+    cut_up = pieces(docs, path, id_col, text_col, capacity, encode_special_tokens=encode_special_tokens)
+    numbered = materialize(cut_up.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    return pack(numbered, capacity).withColumnRenamed("doc_id", id_col)
 
 
 def op3_packing(spark, sf_dir) -> DataFrame:

@@ -3,9 +3,10 @@
 Indicators of hashed n-grams are scaled by their log-count ratio between the classes; a linear hinge-loss
 model over them is fitted by dual coordinate descent.
 
-Labels are learned from at most ``PER_CLASS`` labelled documents of each class, those with the smallest
-hash of their id (a documented bound of the fit; scoring reads every row and whole texts). The fit runs in
-one task on that bounded sample, and its model, of fixed size, is what the driver sends to all tasks.
+Labels are learned from at most ``PER_CLASS`` labelled rows of each class, those with the smallest hash of id
+and place (a documented bound of the fit; scoring reads every row and whole texts). The fit runs in
+one task on that bounded sample: 2 * PER_CLASS rows of at most 2**BITS features of four bytes, 2.1 GB if every text had
+every feature, some 10 MB in practice. Its model, of fixed size, is what the driver sends to all tasks.
 
 Defined results: null and empty texts get the bias's score; a document with two different labels is not
 learned from; if either class has no learnable row, every score is the share of label 1 (0.5 without any
@@ -23,11 +24,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import crc_bucket, ship, table
+from .common import crc_bucket, long_id, materialize, row_keys, sampled, ship, table
 from .svm import fit_hinge
-from .text_features import quality_grams
+from .text_features import quality_features
 
 BITS = 17  # hashed features: 2**BITS
 PER_CLASS = 2000  # labelled documents of each class that the fit takes at most
@@ -40,7 +40,7 @@ class QualityModel:
     bits: int = BITS
 
     def score(self, text: str | None) -> float:
-        x = quality_grams(text or "", self.bits)
+        x = quality_features(text or "", self.bits)
         margin = float(self.weights[x].sum()) / max(1.0, float(np.sqrt(len(x)))) + self.bias
         return float(1.0 / (1.0 + np.exp(-np.clip(2.0 * margin, -30, 30))))
 
@@ -65,32 +65,28 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> Qu
 def _features_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
-            x = np.sort(quality_grams(b.column(2)[i].as_py() or "", BITS)).astype(np.int32)
+            x = quality_features(b.column(2)[i].as_py() or "", BITS).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([x.tobytes()], pa.binary())], names=["one", "id", "label", "x"])
 
 
 def _fit_task(t: pa.Table) -> pa.Table:
-    t = t.sort_by("id")
-    rows = [np.frombuffer(x, np.int32).astype(np.int64) for x in t.column("x").to_pylist()]
+    t = t.sort_by([("id", "ascending"), ("x", "ascending")])
+    rows = [np.frombuffer(x, np.int32) for x in t.column("x").to_pylist()]
     model = fit_rows(rows, np.array(t.column("label").to_pylist()))
     return pa.table({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": pa.array([model.bias], pa.float64())})
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> QualityModel:
-    """Fit on at most per_class labelled documents of each class, outside the held-out third."""
+    """Fit on at most per_class labelled rows of each class, outside the held-out third."""
     ship(docs.sparkSession)
     known = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (crc_bucket(id_col, 3) != 1))
-        .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("top")).where("label = top").drop("top")
+        .groupBy(long_id(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("top")).where("label = top").drop("top")
     )
-    sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"))  # two rows
-    # of a frequent label, only small hashes reach the ranking: some four times as many rows as it keeps
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    small = place < F.lit(4.0 * per_class + 100) / F.col("n") * F.lit(float(1 << 30))
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(place, "id"))
-    sample = known.join(F.broadcast(sizes), "label").where(small).withColumn("nth", nth).where(F.col("nth") <= per_class).select("id", "label")
+    named = row_keys(docs).select("row_key", long_id(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = materialize(named.select("row_key", "id").join(known, "id").select("row_key", "id", "label"), "labelled")
     # at most 2 * per_class narrow rows: a bounded broadcast
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "label", "text")
+    texts = named.join(F.broadcast(sampled(rows, "label", per_class)), "row_key").select("id", "label", "text")
     features = texts.mapInArrow(_features_task, "one int, id long, label int, x binary")
     got = features.groupBy("one").applyInArrow(_fit_task, "weights binary, bias double").collect()
     if not got:

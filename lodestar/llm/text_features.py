@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 
 _TOP = 0x32400  # code points from here on count as neither letter nor space
-_CHUNK = 1 << 21  # code points worked on at a time; word n-grams don't cross from one chunk to the next
+_CHUNK = 1 << 21  # code points worked on at a time; n-grams and words go on from one chunk to the next
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict[str, np.ndarray] = {}
 
@@ -34,11 +36,26 @@ def code_points(text: str) -> np.ndarray:
     return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"), _TOP)
 
 
-def chunks(text: str):
+def chunks(text: str) -> Iterator[np.ndarray]:
     for i in range(0, len(text), _CHUNK):
         yield code_points(text[i : i + _CHUNK])
 
 
+def chunks_at(text: str, gap: np.ndarray) -> Iterator[np.ndarray]:
+    """Chunks that end behind a code point that is a gap, or with the text: longer ones where a run without a gap is."""
+    at, most = 0, _CHUNK
+    while at < len(text):
+        c = code_points(text[at : at + most])
+        if at + len(c) < len(text):
+            gaps = np.flatnonzero(gap[c])
+            if not len(gaps):
+                most *= 2
+                continue
+            c = c[: gaps[-1] + 1]
+        at, most = at + len(c), _CHUNK
+        yield c
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(tables()["letter"][c].any() for c in chunks(text))
 
@@ -55,28 +72,43 @@ def _fold(h: np.ndarray, kind: int, bits: int) -> np.ndarray:
     return (((h ^ np.uint64(kind * 0x1F123BB5)) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def letter_grams(text: str, bits: int, orders=(1, 2, 3)) -> np.ndarray:
-    """Feature numbers (with repeats) of letter n-grams, lower case; what isn't a letter is one space."""
-    t, out = tables(), []
-    for c in chunks(text):
-        letter = t["letter"][c]
-        c = np.where(letter, t["lower"][c], 32)
-        keep = letter | np.r_[True, letter[:-1]]
-        c = np.r_[np.uint32(32), c[keep], np.uint32(32)]
+def _grams(tail: np.ndarray, new: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams of tail and new that end in new."""
+    s = np.concatenate([tail[max(0, len(tail) - n + 1) :], new])
+    return _mixed(*(s[i : len(s) - n + 1 + i] for i in range(n))) if len(s) >= n else np.zeros(0, np.uint64)
+
+
+def letter_grams(text: str, orders: tuple[int, ...] = (1, 2, 3)) -> Iterator[tuple[int, np.ndarray]]:
+    """(order, hashes with repeats) of letter n-grams, lower case; a run of what isn't a letter is one space, as are both ends."""
+    t, tail, letters = tables(), np.array([32], np.uint32), False
+    for c in itertools.chain(chunks(text), [None]):
+        if c is None:
+            new = np.array([32] if letters else [], np.uint32)
+        else:
+            letter = t["letter"][c]
+            new = np.where(letter, t["lower"][c], np.uint32(32))[letter | np.r_[letters, letter[:-1]]]
+            letters = bool(letter[-1])
         for n in orders:
-            if len(c) >= n:
-                out.append(_fold(_mixed(*(c[i : len(c) - n + 1 + i] for i in range(n))), n, bits))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+            yield n, _grams(tail, new, n)
+        tail = np.concatenate([tail, new])[-max(orders) :]
+
 
+def letter_counts(text: str, bits: int) -> np.ndarray:
+    """How often each feature number occurs."""
+    counts = np.zeros(1 << bits, np.int64)
+    for n, h in letter_grams(text):
+        counts += np.bincount(_fold(h, n, bits), minlength=1 << bits)
+    return counts
 
-def quality_grams(text: str, bits: int) -> np.ndarray:
-    """Distinct feature numbers: n-grams of words' looks (1 to 4) and words.
+
+def quality_grams(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(kind, hashes with repeats): n-grams of words' looks (kinds 1 to 4) and words (kind 11).
 
     A word's look: its letter case, the mark it ends in, whether it has letters, whether it repeats
     the word before it.
     """
-    t, out = tables(), []
-    for c in chunks(text):
+    t, tail, before = tables(), np.zeros(0, np.uint64), None
+    for c in chunks_at(text, t["space"]):
         space = t["space"][c]
         word = np.flatnonzero(~space & np.r_[True, space[:-1]])
         if not len(word):
@@ -93,38 +125,31 @@ def quality_grams(text: str, bits: int) -> np.ndarray:
         last, first = c[ends], c[word]
         mark = np.where(t["letter"][last] | t["digit"][last], np.uint32(0), last)
         case = np.where(uppers == 0, 0, np.where((uppers == letters) & (letters > 1), 1, np.where(t["upper"][first], 2, 3)))
-        again = np.r_[False, h[1:] == h[:-1]]
+        again = np.r_[before is not None and h[0] == before, h[1:] == h[:-1]]
         nonletters = np.minimum(length - letters, 4)
         look = _mixed(mark, case, letters > 0, nonletters, again)
         for n in (1, 2, 3, 4):
-            if len(look) >= n:
-                out.append(_fold(_mixed(*(look[i : len(look) - n + 1 + i] for i in range(n))), n, bits))
-        out.append(_fold(h, 11, bits))
-    return unique(np.concatenate(out), bits) if out else np.zeros(0, np.int64)
-
+            yield n, _grams(tail, look, n)
+        yield 11, h
+        tail, before = np.concatenate([tail, look])[-3:], h[-1]
 
-_marks: dict[int, np.ndarray] = {}
 
-
-def unique(numbers: np.ndarray, bits: int) -> np.ndarray:
-    """Distinct numbers, in no fixed order, without sorting: of equal ones the last writer stays."""
-    mark = _marks.setdefault(bits, np.zeros(1 << bits, np.int64))
-    places = np.arange(len(numbers))
-    mark[numbers] = places
-    return numbers[mark[numbers] == places]
+def quality_features(text: str, bits: int) -> np.ndarray:
+    """The distinct feature numbers of a text, in order."""
+    seen = np.zeros(1 << bits, bool)
+    for kind, h in quality_grams(text):
+        seen[_fold(h, kind, bits)] = True
+    return np.flatnonzero(seen)
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, in order. Words are runs of letters, marks and digits, in lower case; a run longer than a chunk is cut."""
-    t, out, at = tables(), [], 0
+    """A 64-bit hash of each word, in order. Words are runs of letters, marks and digits, in lower case."""
+    t, out = tables(), []
     if "word" not in t:
         t["word"] = np.array([unicodedata.category(chr(i))[0] in "LMN" for i in range(_TOP)] + [True])
-    while at < len(text):
-        c = code_points(text[at : at + _CHUNK])
+        t["gap"] = ~t["word"]
+    for c in chunks_at(text, t["gap"]):
         inside = t["word"][c]
-        if at + len(c) < len(text) and len(gaps := np.flatnonzero(~inside)):
-            c, inside = c[: gaps[-1] + 1], inside[: gaps[-1] + 1]  # cut behind the last whole word
-        at += len(c)
         starts = np.flatnonzero(inside & np.r_[True, ~inside[:-1]])
         if not len(starts):
             continue

@@ -1,15 +1,19 @@
 """WARC archives, index first.
 
 Writing gives one index row per record (file, offset, length, URL, digest); reading sorts the index rows
-of the selected records by place and joins neighbouring byte ranges into large reads. Archives are gzip
-members, one per record, in files of a bounded size in the shared folder. They are written and read with
-pyarrow's file systems, so the folder may be local to all, or in any store that pyarrow opens.
+of the selected records by place and joins neighbouring byte ranges into large reads, in tasks of about TASK_BYTES
+of archive. Archives are gzip members, one per record, in files of a bounded size in the shared folder; each file
+begins with a warcinfo record. They are written and read with pyarrow's file systems, so the folder may be local to
+all, or in any store that pyarrow opens.
+
+A response record holds an HTTP message whose entity is the payload; a revisit record holds that message's header and
+names the response that it repeats. Record ids are UUIDs of the row's place in the input.
 
 A retried task writes a file of another name, and only the index rows of the task that committed count, so
 a lost executor leaves at most an unused file.
 
 Defined results: null html is an empty payload; a null url is written as the empty URL; a null page_id
-sorts before every other and has no number in its record id; rows that repeat a page_id and payload are
+sorts before every other and is written as no number; rows that repeat a page_id and payload are
 records of their own, and all of them are responses if they hold the largest page_id of their payload; an
 empty table gives no archive and no rows; other columns are ignored.
 """
@@ -26,54 +30,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, ship, table
+from .common import fresh_path, long_id, materialize, row_keys, ship, table, tasks_for
 
 LEAST_BYTES = 1000  # smaller payloads are never revisits
 FILE_BYTES = 64 << 20  # an archive file is closed beyond this size
 GAP_BYTES = 64 << 10  # ranges closer than this are read together
 SPAN_BYTES = 8 << 20  # and a read is not longer than this, unless a record is
-REGION_BYTES = 16 << 20  # records of one file that a reading task takes at once start within this many bytes
+REGION_BYTES = 4 << 20  # records of one file that a reading task takes together start within this many bytes
+TASK_BYTES = 64 << 20  # archive bytes of a reading task
+NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the public name space of URLs
 
 INDEX_SCHEMA = "file string, offset long, length long, url string, digest string, page_id long"
 READ_SCHEMA = "page_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
-    """One gzipped WARC/1.1 record. A revisit names the record it repeats and has no body."""
+def record_id(file: str, at: int) -> str:
+    """The id of the record of a row of the input."""
+    return f"<urn:uuid:{uuid.uuid5(NAMES, f'{file}#{at}')}>"
+
+
+def _member(head: list[str], block: bytes) -> bytes:
+    """One record as a gzip member."""
+    raw = "\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(block)}"]).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
+    deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return deflate.compress(raw) + deflate.flush()
+
+
+def warcinfo(name: str) -> bytes:
+    """The first record of a file."""
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMES, name)}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return _member(head, b"software: lodestar\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(own_id: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: tuple[str, int] | None) -> bytes:
+    """A response, or a revisit of a record (its id and page)."""
     clean = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    base32 = base64.b32encode(bytes.fromhex(digest)).decode()
     head = [
-        "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:x-page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {own_id}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {clean}",
-        f"WARC-Payload-Digest: sha1:{base32}",
-        f"X-Payload-Length: {size}",
-        "Content-Type: text/html; charset=utf-8",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
+        f"X-Payload-Length: {len(payload)}",
+        f"X-Page-ID: {'' if page_id is None else page_id}",
+        "Content-Type: application/http; msgtype=response",
     ]
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:x-page:{refers_to}>"]
-        payload = b""
-    head.append(f"Content-Length: {len(payload)}")
-    raw = "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + payload + b"\r\n\r\n"
-    deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return deflate.compress(raw) + deflate.flush()
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    if refers_to is None:
+        return _member(head, block + payload)
+    return _member([*head, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to[0]}", f"X-Refers-To-Page-ID: {refers_to[1]}"], block)
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields and body of one decompressed record."""
+    """Header fields and payload of one decompressed record: of an HTTP message, what follows its own header."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
     fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    block = rest[: int(fields["Content-Length"])]
+    return fields, block.partition(b"\r\n\r\n")[2] if fields["Content-Type"].startswith("application/http") else block
 
 
-def _page(uri: str | None) -> int | None:
-    number = (uri or "").removeprefix("<urn:x-page:").removesuffix(">")
-    return int(number) if number else None
+def _number(text: str | None) -> int | None:
+    return int(text) if text else None
 
 
 def _file_system(uri: str):
@@ -83,14 +103,14 @@ def _file_system(uri: str):
 
 
 def _write_task(folder: str):
-    """(page_id, url, html, refers_to) to archive files and their index rows."""
+    """(page_id, url, html, file, at, page, file and place of the record referred to) to archive files and their index rows."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _file_system(folder)
         out, name, at = None, "", 0
         for b in batches:
             rows: dict[str, list] = {k: [] for k in ("file", "offset", "length", "url", "digest", "page_id")}
-            for page_id, url, html, refers_to in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for page_id, url, html, file, place, page, page_file, page_at in zip(*(b.column(i).to_pylist() for i in range(8))):
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 digest = hashlib.sha1(payload).hexdigest()
                 if out is None or at >= FILE_BYTES:
@@ -98,7 +118,10 @@ def _write_task(folder: str):
                         out.close()
                     name, at = f"pages-{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
-                data = record(page_id, url, payload, digest, len(payload), refers_to)
+                    first = warcinfo(name)
+                    out.write(first)
+                    at = len(first)
+                data = record(record_id(file, place), page_id, url, payload, digest, None if page_file is None else (record_id(page_file, page_at), page))
                 out.write(data)
                 for k, v in zip(rows, (name, at, len(data), url, digest, page_id)):
                     rows[k].append(v)
@@ -160,7 +183,7 @@ def _records(raw: list[bytes], payloads: bool) -> pa.RecordBatch:
         size = int(fields["X-Payload-Length"])
         if kind == "response" and (hashlib.sha1(body).hexdigest() != digest or len(body) != size):
             raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-        values = (_page(fields["WARC-Record-ID"]), kind, fields["WARC-Target-URI"], size, digest, _page(fields.get("WARC-Refers-To")), body if payloads else None)
+        values = (_number(fields["X-Page-ID"]), kind, fields["WARC-Target-URI"], size, digest, _number(fields.get("X-Refers-To-Page-ID")), body if payloads else None)
         for column, v in zip(out, values):
             column.append(v)
     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
@@ -171,22 +194,22 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write all pages below folder; gives the index. Equal payloads are found on narrow rows, before any page moves."""
     ship(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
-    narrow = rows.select("page_id", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").alias("size")).where(F.col("size") >= LEAST_BYTES)
-    first = narrow.groupBy("sha", "size").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = materialize(narrow.join(first, ["sha", "size"]).where("page_id is null or page_id <> keep").select("page_id", "sha", "keep").distinct(), "revisits", pages.count())
-    # a null page_id meets its revisit by the digest; null-safe on the id
-    marked = rows.withColumn("sha", F.unhex(F.sha1("html"))).alias("p").join(
-        again.alias("a"), F.col("p.page_id").eqNullSafe(F.col("a.page_id")) & (F.col("p.sha") == F.col("a.sha")), "left"
-    )
-    index = marked.select("p.page_id", "p.url", "p.html", F.col("a.keep").alias("refers_to")).mapInArrow(_write_task(folder), INDEX_SCHEMA)
-    return materialize(index, "warc-index")
+    rows = row_keys(pages).select(long_id(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), "row_key")
+    narrow = rows.select("row_key", "page_id", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").alias("size")).where(F.col("size") >= LEAST_BYTES)
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row_key"))
+    first = narrow.groupBy("sha", "size").agg(F.max(named).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1 and keep is not null").drop("n")
+    again = narrow.join(first, ["sha", "size"]).where(~F.col("page_id").eqNullSafe(F.col("keep.page_id"))).select("row_key", "keep")
+    marked = rows.join(materialize(again, "revisits", narrow.count()), "row_key", "left")
+    columns = ["page_id", "url", "html", "row_key.file", "row_key.at", F.col("keep.page_id").alias("page"), F.col("keep.row_key.file").alias("page_file"), F.col("keep.row_key.at").alias("page_at")]
+    return materialize(marked.select(*columns).mapInArrow(_write_task(folder), INDEX_SCHEMA), "warc-index")
 
 
 def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of the index rows given, in large sequential reads."""
-    region = F.expr(f"offset div {REGION_BYTES}")
-    placed = index.select("file", "offset", "length").repartition("file", region).sortWithinPartitions("file", "offset")
+    """The records of the index rows given, in large sequential reads. How many tasks read follows from the bytes of the records, not of the index."""
+    spark = index.sparkSession
+    size = index.agg(F.sum("length").alias("size")).collect()[0]["size"] or 0  # one row
+    tasks = tasks_for(spark, size, TASK_BYTES, REGION_BYTES)
+    placed = index.select("file", "offset", "length").repartition(tasks, "file", F.expr(f"offset div {REGION_BYTES}")).sortWithinPartitions("file", "offset")
     return placed.mapInArrow(_read_task(folder, payloads), READ_SCHEMA)
 
 
@@ -211,7 +234,7 @@ WITH p AS (
   SELECT *, max(page_id) OVER (PARTITION BY html) AS keep FROM p
 )
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
-       CASE WHEN n >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 1000 AND page_id <> keep THEN keep END AS refers_to
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM keep THEN keep END AS refers_to
 FROM r
 """

@@ -4,19 +4,20 @@ Stages return whole rows of the documents that stay (the last one returns token
 stage's rows to the shared folder and reads them again for the next.
 
 Defined results: null texts are empty ones; quality scores them like any other text, language
-identification rejects them as ``und``; a null doc_id sorts after all others; rows that repeat a doc_id are
-judged one by one by the first three stages and stand or fall together in the fourth; empty tables stay
-empty; extra columns are carried along up to the last stage.
+identification rejects them as ``und``; a null doc_id sorts after all others; rows that repeat a doc_id, or
+have none, are judged one by one, by their place in the table; empty tables stay
+empty; extra columns, of any name, are carried along up to the last stage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lodestar.llm import exact_dedup as exact
-from lodestar.llm.common import id_or_last, materialize, table
+from lodestar.llm.common import materialize, row_keys, table
+from lodestar.llm.exact_dedup import exact_dedup
 from lodestar.llm.langid import UNDETERMINED, fit_languages, language_column
 from lodestar.llm.near_join import near_duplicates
 from lodestar.llm.packing import pack_documents
@@ -37,23 +38,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts whose language can't be told."""
-    model = fit_languages(docs)
-    told = language_column(spark, model, F.col("text"))
-    return docs.withColumn("__told", told).where((F.col("__told.lang_pred") != UNDETERMINED) & (F.col("__told.score") >= MIN_LANGUAGE)).drop("__told")
+    told, name = language_column(spark, fit_languages(docs), F.col("text")), _unused(docs, "told")
+    return docs.withColumn(name, told).where((F.col(f"{name}.lang_pred") != UNDETERMINED) & (F.col(f"{name}.score") >= MIN_LANGUAGE)).drop(name)
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def _kept(docs: DataFrame, judge: Callable[..., DataFrame]) -> DataFrame:
+    """The rows that an operator keeps, found by their place in the table."""
+    key = _unused(docs, "row_key")
+    named = row_keys(docs, key)
+    return named.join(judge(named, row_key=key).where("kept").select(key), key, "left_semi").drop(key)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one row stays."""
-    kept = exact.exact_dedup(docs).where("kept").select(id_or_last("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__id", id_or_last("doc_id")).withColumn("__sha", F.unhex(F.sha2(exact.normalised(F.col("text")), 256)))
-    longest = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc()))
-    return marked.join(kept, ["__id", "__sha"], "left_semi").withColumn("__nth", longest).where("__nth = 1").select(*docs.columns)
+    return _kept(docs, exact_dedup)
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest id stays."""
-    first = near_duplicates(docs).where(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(id_or_last("doc_id").alias("__id")).distinct()
-    return docs.withColumn("__id", id_or_last("doc_id")).join(first, "__id", "left_semi").select(*docs.columns)
+    return _kept(docs, near_duplicates)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 
 _TOP = 0x32400  # code points from here on count as neither letter nor space
 _CHUNK = 1 << 21  # code points worked on at a time; n-grams and words go on from one chunk to the next
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _MIX_NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -63,7 +63,7 @@ def has_letter(text: str | None) -> bool:
 def _mixed(*parts: np.ndarray) -> np.ndarray:
     h = parts[0].astype(np.uint64)
     for p in parts[1:]:
-        h = (h * _MIX) ^ p.astype(np.uint64)
+        h = (h * _MIX) ^ (p.astype(np.uint64) * _MIX_NEXT)  # a small p must reach all bits: sums of such values are compared
         h ^= h >> np.uint64(29)
     return h * _MIX
 

@@ -769,3 +769,9 @@ def test_word_hashes_across_chunks(monkeypatch):
     monkeypatch.setattr(text_features, "_CHUNK", 97)
     assert (text_features.word_hashes(text) == whole).all()
     assert (text_features.word_hashes("A-bÉ") == text_features.word_hashes("a Bé"[:1] + " bé")).all()
+
+
+def test_word_hashes_tell_swapped_letters_apart():
+    r, seen = random.Random(6), {}
+    for w in {"".join(r.choice("abcdefw012345") for _ in range(r.randint(2, 6))) for _ in range(20_000)}:
+        assert seen.setdefault(int(text_features.word_hashes(w)[0]), w) == w

@@ -59,9 +59,11 @@ class Engine:
         return Emitter(self.catalog, self.strict_order).result(query)
 
     def _explained(self, query: Query) -> list[str]:
-        """The bound plan, then the plan that Catalyst chose, with its ids taken out."""
+        """The bound plan, then what Catalyst made of it, with its ids taken out: the optimized plan with the size (and, where known, the rows) of each step, and the physical one."""
         execution = self._emitted(query)._jdf.queryExecution()
-        chosen = re.sub(r"#\d+L?|, \[?plan_id=\d+\]?|\[plan_id=\d+\]", "", execution.optimizedPlan().toString())
-        physical = re.sub(r"#\d+L?|, \[?plan_id=\d+\]?|\[plan_id=\d+\]", "", execution.executedPlan().toString())
+        cost = execution.explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("cost"))
+        plans = re.sub(r"#\d+L?|, \[?plan_id=\d+\]?|\[plan_id=\d+\]", "", cost)
+        chosen, _, physical = plans.removeprefix("== Optimized Logical Plan ==\n").partition("\n\n== Physical Plan ==\n")
+        physical = physical.rstrip()
         sections = (("bound logical plan:", plan_lines(query.plan)), ("optimized plan:", chosen.splitlines()), ("chosen plan:", physical.splitlines()))
         return ["EXPLAIN", *(line for head, lines in sections for line in (head, *("  " + x for x in lines)))]

@@ -8,7 +8,7 @@ null-safe equality; where a block is only a filtered FROM clause, it becomes a s
 from __future__ import annotations
 
 import operator
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +20,22 @@ from ..plans.algebra import (
     outer_refs, refs, subqueries,
 )
 from .frame import Frame, all_of, fresh, same
-from .running import running
+from .running import any_order, number_of, running
 
 _COMPARE = {"=": operator.eq, "<>": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 _MOST_ROWS = 2**31 - 1
 _MAX, _MIN = 2**63 - 1, -(2**63)
 
 
+@dataclass(frozen=True)
+class _Place:
+    """A count of the rows so far, as a window."""
+
+    order: tuple
+    function: str = "COUNT"
+    frame: str = "ROWS"
+
+
 class Emitter:
     """Emits one query. strict: keep the order of the tables' rows wherever it shows."""
 
@@ -146,15 +155,17 @@ class Emitter:
     def _windows(self, node: Windows, base: Frame | None) -> Frame:
         frame = self.emit(node.input, base)
         names = {w: fresh() for w in node.windows}
-        alone: dict[str, list] = {}  # windows over one order of all rows, by their first order key
+        alone: dict[str | None, list] = {}  # windows over one order of all rows, by their first order key; None: in any order
         for w in node.windows:
             if not frame.keys and self._in_one_group(w) and not self._summed_in_order(frame, w):
-                alone.setdefault(frame.physical(w.order[0][0]), []).append(w)
-        shared = dict(list(alone.items())[:2])  # each of them reads its input anew
-        source = frame.df
-        for key, windows in shared.items():
+                first = frame.physical(w.order[0][0]) if w.order else frame.ords[0] if frame.ords else None
+                alone.setdefault(first, []).append(w)
+        shared, source = alone, frame.df
+        for first, windows in shared.items():
+            text = bool(windows[0].order) and windows[0].order[0][0].type != INT64
+            key = any_order(source) if first is None else number_of(F.col(first) if windows[0].order else self._flat(frame.df, first), text)
             parts = [(w, names[w], self._order(frame, w), None if w.argument is None else F.col(frame.physical(w.argument))) for w in windows]
-            frame = frame.with_df(running(frame.df, source, parts, F.col(key)))
+            frame = frame.with_df(running(frame.df, source, parts, key))
         done = {w for windows in shared.values() for w in windows}
         whole = [w for w in node.windows if self._over_everything(frame, w)]
         if whole:  # one group: aggregates and their one row, instead of all rows in one task
@@ -168,8 +179,19 @@ class Emitter:
 
     @staticmethod
     def _in_one_group(w) -> bool:
-        """All rows in one order, by an integer first: buckets of the integer share the work."""
-        return not w.partition and bool(w.order) and w.order[0][0].type == INT64 and (w.frame != "PARTITION" or w.function in ("ROW_NUMBER", "RANK", "DENSE_RANK"))
+        """All rows in one order, given or not: buckets of its first key share the work."""
+        ranked = w.function in ("ROW_NUMBER", "RANK", "DENSE_RANK")
+        if w.partition or (w.frame == "PARTITION" and not ranked):
+            return False
+        return bool(w.order) or w.function == "ROW_NUMBER" or (w.frame == "ROWS" and not ranked)
+
+    @staticmethod
+    def _flat(df: DataFrame, ordinal: str) -> Column:
+        """The first number of an ordinal, which may be a structure of some."""
+        kind, column = df.schema[ordinal].dataType, F.col(ordinal)
+        while hasattr(kind, "fields"):
+            column, kind = column[kind.fields[0].name], kind.fields[0].dataType
+        return column
 
     @staticmethod
     def _summed_in_order(frame: Frame, w) -> bool:
@@ -245,12 +267,24 @@ class Emitter:
     def _limit(self, node: Limit, base: Frame | None) -> Frame:
         frame = self.emit(node.input, base)
         order = [*frame.sort, *(F.col(o).asc() for o in frame.ords)]
+        nth = fresh()
         if frame.keys:
-            nth = fresh()
-            over = Window.partitionBy(*frame.keys).orderBy(*(order or [F.lit(1)]))
-            return frame.with_df(frame.df.withColumn(nth, F.row_number().over(over)).where(F.col(nth) <= min(node.count, _MOST_ROWS)).drop(nth))
-        df = frame.df.orderBy(*order) if order else frame.df
-        return frame.with_df(df.limit(node.count) if node.count <= _MOST_ROWS else df)
+            over = Window.partitionBy(*frame.keys).orderBy(*(order or [F.lit(1)])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            place = F.row_number().over(over) if node.count <= _MOST_ROWS else F.count(F.lit(1)).over(over)  # row_number is an int
+            return frame.with_df(frame.df.withColumn(nth, place).where(F.col(nth) <= node.count).drop(nth))
+        if node.count <= _MOST_ROWS:
+            return frame.with_df((frame.df.orderBy(*order) if order else frame.df).limit(node.count))
+        return frame.with_df(self._numbered(frame, node, order, nth).where(F.col(nth) <= node.count).drop(nth))
+
+    def _numbered(self, frame: Frame, node: Limit, order: list[Column], name: str) -> DataFrame:
+        """Rows with their place as a bigint, for limits beyond what Spark's own takes."""
+        keys = node.input.keys if isinstance(node.input, Sort) else ()
+        if keys:
+            first, down = frame.physical(keys[0][0]), keys[0][1]
+            key = number_of(F.col(first), keys[0][0].type != INT64)
+        else:
+            down, key = False, self._flat(frame.df, frame.ords[0]) if frame.ords else any_order(frame.df)
+        return running(frame.df, frame.df, [(_Place(((None, down),)), name, order, None)], key)
 
     # --- predicates
 

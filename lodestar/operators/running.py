@@ -1,8 +1,9 @@
 """Ranks and running aggregates over all rows, without one task for all of them.
 
-Rows are dealt to buckets by the first order key, an integer: bucket numbers rise with the key and depend
-only on its smallest and largest value, so rows of equal keys share a bucket and every evaluation deals
-alike. Each bucket is worked out apart; what the buckets before it hold (one row for each bucket) is added.
+Rows are dealt to buckets by the first order key: bucket numbers rise with the key and depend on approximate quantiles
+of all keys, so that buckets are of like size whatever the keys are, and rows of equal keys share one. Each bucket is
+worked out apart; what the buckets before it hold (one row for each bucket) is added. A string counts by its first
+bytes. Where there is no order at all, any order will do: rows are then dealt by a hash of their values.
 """
 
 from __future__ import annotations
@@ -14,16 +15,29 @@ from pyspark.sql.window import Window
 from ..functions.exact import halves, whole
 from .frame import fresh
 
-BUCKETS = 512
+BUCKETS = 512  # a power of two
+_PREFIX = 7  # bytes of a string that its number takes in
+
+
+def number_of(key: Column, is_string: bool) -> Column:
+    """A bigint that rises with the key, equal for equal keys."""
+    if not is_string:
+        return key
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(key, "UTF-8"), 1, _PREFIX)), 2 * _PREFIX, "0"), 16, 10).cast("bigint")
+
+
+def any_order(df: DataFrame) -> Column:
+    """A bigint by which rows are dealt where no order is asked for."""
+    return F.xxhash64(*df.columns)
 
 
 def bucketed(df: DataFrame, source: DataFrame, key: Column, name: str) -> DataFrame:
     """df with a bucket number that rises with key, NULL being the largest. source has the same keys."""
-    low, high = fresh(), fresh()
-    ends = source.agg(F.min(key).cast("double").alias(low), F.max(key).cast("double").alias(high))  # one row
-    share = (key.cast("double") - F.col(low)) / F.greatest(F.col(high) - F.col(low), F.lit(1.0))
-    place = F.coalesce(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)), F.lit(BUCKETS)).cast("int")
-    return df.crossJoin(F.broadcast(ends)).withColumn(name, place).drop(low, high)
+    bounds = fresh()
+    cuts = source.agg(F.percentile_approx(key, [i / BUCKETS for i in range(1, BUCKETS)], 20 * BUCKETS).alias(bounds))  # one row
+    steps = [1 << i for i in reversed(range(BUCKETS.bit_length() - 1))]
+    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(F.col(bounds), at + step - 1) < key, at + step).otherwise(at))  # binary search
+    return df.crossJoin(F.broadcast(cuts)).withColumn(name, F.when(key.isNull(), F.lit(BUCKETS)).otherwise(below)).drop(bounds)
 
 
 def running(df: DataFrame, source: DataFrame, windows: list[tuple], key: Column) -> DataFrame:
@@ -38,7 +52,7 @@ def running(df: DataFrame, source: DataFrame, windows: list[tuple], key: Column)
     steps: dict[str, tuple] = {}  # column: (what a bucket adds to those behind it, those before it put together)
     used: list[list[str]] = []
     for w, _, order, v in windows:
-        over = Window.partitionBy(bucket).orderBy(*order)
+        over = Window.partitionBy(bucket).orderBy(*(order or [F.lit(1)]))
         frame = (over.rowsBetween if w.frame == "ROWS" else over.rangeBetween)(Window.unboundedPreceding, Window.currentRow)
         counted = F.lit(1) if v is None else v
         if w.function in ("ROW_NUMBER", "RANK", "DENSE_RANK"):
@@ -54,7 +68,7 @@ def running(df: DataFrame, source: DataFrame, windows: list[tuple], key: Column)
             own_steps = {fresh(): (extreme(v).over(frame), extreme(v), extreme)}
         for column, (value, held, together) in own_steps.items():
             dealt = dealt.withColumn(column, value)
-            steps[column] = held, together(column).over(earlier[w.order[0][1]])
+            steps[column] = held, together(column).over(earlier[bool(w.order) and w.order[0][1]])
         used.append(list(own_steps))
     sizes = dealt.groupBy(F.col(bucket).alias(own)).agg(*(held.alias(column) for column, (held, _) in steps.items()))
     before = {column: fresh() for column in steps}

@@ -161,8 +161,9 @@ class Interpreter:
                     elif w.frame == "ROWS":
                         out = self.call(w.function, w.name, values[: i + 1], w.argument is None)
                     elif w.frame == "RANGE":
-                        # peers' arguments in rising order, so that ties never decide on an overflow
-                        frame = values[:a] + sorted(values[a:b], key=lambda v: (v is None, _bytes(v) if v is not None else 0)) if w.function == "SUM" else values[:b]
+                        # each peer group's arguments in rising order, so that ties never decide on an overflow
+                        rising = lambda some: sorted(some, key=lambda v: (v is None, _bytes(v) if v is not None else 0))
+                        frame = [v for x, y in zip(peers, peers[1 : n + 2]) for v in rising(values[x:y])] if w.function == "SUM" else values[:b]
                         out = self.call(w.function, w.name, frame, w.argument is None)
                     else:
                         out = self.call(w.function, w.name, values, w.argument is None)

@@ -37,13 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, long_id, materialize, row_keys, ship, slices, table
-from .text_features import shingles, word_hashes
+from .text_features import shingles_of, word_hashes_of
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET = 20, 7, 0.9995
 BLOCK = 512  # texts of one side of a comparison
 LOSS = 1 / 1000  # share of the misses that the target allows which the comparison of signatures may add
 _CHUNK = 1 << 15
+_PAIRS = 1 << 14  # pairs whose signatures are compared at a time
 
 
 def met_by(similarity: float | np.ndarray, length: int) -> float | np.ndarray:
@@ -97,9 +98,9 @@ def _sign_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column(0).to_pylist()
         for lo, hi in slices(texts, 1 << 21):
-            words = [word_hashes(t) for t in texts[lo:hi]]
+            words = word_hashes_of(texts[lo:hi])
             some = [i for i, w in enumerate(words) if len(w)]
-            sets = [shingles(words[i], WORDS) for i in some]
+            sets = shingles_of([words[i] for i in some], WORDS)
             labels = ((signatures(sets) * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype("<u2")
             digest, size, mark = [None] * (hi - lo), [0] * (hi - lo), [None] * (hi - lo)
             for k, i in enumerate(some):
@@ -111,22 +112,18 @@ def _sign_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-class Forest:
-    """Union-find over the places of a block."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n places, the smallest one that the links i to j connect it to."""
+    up = np.arange(n)
+    while True:
+        a, b = up[i], up[j]
+        apart = a != b
+        if not apart.any():
+            return up
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -165,51 +162,61 @@ class Cell:
         self.one = np.arange(t.num_rows) if self.same else np.flatnonzero(side == 0)
         self.two = self.one if self.same else np.flatnonzero(side == 1)
 
-    def candidates(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each text of the first block: those that it meets here and nowhere else, and their estimated similarities."""
-        for k, i in enumerate(self.one):
-            fit = self.two[k + 1 :] if self.same else self.two
-            near = (self.sizes[fit] >= self.threshold * self.sizes[i]) & (self.sizes[i] >= self.threshold * self.sizes[fit])
-            fit = fit[near if self.active[i] else near & self.active[fit]]
-            if not len(fit):
-                continue
-            equal = self.marks[fit] == self.marks[i]
-            share = equal.sum(axis=(1, 2))
-            enough = share >= self.least
-            fit, equal, share = fit[enough], equal[enough], share[enough]
-            if not len(fit):
-                continue
-            here = equal[:, :, : self.length].all(axis=2)
-            first = here[:, self.tree] & ~here[:, : self.tree].any(axis=1)
-            if self.length < DEPTH:
-                first &= ~(here & equal[:, :, self.length]).any(axis=1)
-            if first.any():
-                yield int(i), fit[first], share[first] / (TREES * DEPTH)
+    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs that meet here and nowhere else: a text of the first block, one of the second, how many of their values are equal."""
+        one, two = self.one, self.two
+        large, small = self.sizes[one][:, None], self.sizes[two][None, :]
+        fit = (small >= self.threshold * large) & (large >= self.threshold * small) & (self.active[one][:, None] | self.active[two][None, :])
+        if self.same:
+            fit &= np.tri(len(one), dtype=bool).T
+            np.fill_diagonal(fit, False)
+        # no pair that shares as long a prefix in an earlier tree, or a longer one in any tree
+        for length, trees in ((self.length, self.tree), (self.length + 1, TREES if self.length < DEPTH else 0)):
+            prefix = self._prefixes(length)
+            for tree in range(trees):
+                if not fit.any():
+                    break
+                a, b = prefix[one, tree], prefix[two, tree]
+                fit &= (a[:, None, 0] != b[None, :, 0]) | (a[:, None, 1] != b[None, :, 1])
+        i, j = np.nonzero(fit)
+        i, j = one[i], two[j]
+        flat = self.marks.reshape(len(self.marks), TREES * DEPTH)
+        equal = np.concatenate([np.zeros(0, np.int64), *((flat[i[at : at + _PAIRS]] == flat[j[at : at + _PAIRS]]).sum(axis=1) for at in range(0, len(i), _PAIRS))])
+        enough = equal >= self.least
+        return i[enough], j[enough], equal[enough]
+
+    def _prefixes(self, length: int) -> np.ndarray:
+        """For each text and tree, a prefix as two numbers of four values each."""
+        padded = np.zeros((len(self.marks), TREES, 8), "<u2")
+        n = min(length, DEPTH)
+        padded[:, :, :n] = self.marks[:, :, :n]
+        return padded.view("<u8")
 
 
 def _meet_task(length: int, threshold: float, least: int):
     """Cells, sorted, to the texts that have candidates there: how many likely links, and how many more each prefix length should miss."""
 
+    share = np.arange(TREES * DEPTH + 1) / (TREES * DEPTH)
+    p = np.stack([met_by(share, n) for n in range(1, DEPTH + 1)], axis=1)
+    more = (1 - p) / np.maximum(p, 1e-300)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["prefix", "tree", "one", "two", "side", "digest", "active"]
         for t in _groups(batches, ("prefix", "tree", "one", "two")):
             if t.num_rows < 2:
                 continue
-            cell = Cell(t, length, threshold, least)
-            needed, found, missing = np.zeros(t.num_rows, bool), np.zeros(t.num_rows, np.int64), np.zeros((t.num_rows, DEPTH))
-            for i, fit, share in cell.candidates():
-                needed[i] = needed[fit] = True
-                link = share >= threshold
-                fit, p = fit[link], np.stack([met_by(share[link], n) for n in range(1, DEPTH + 1)], axis=1)
-                found[i] += len(fit)
-                found[fit] += 1
-                missing[i] += ((1 - p) / p).sum(axis=0)
-                missing[fit] += (1 - p) / p
-            if needed.any():
-                at = pa.array(np.flatnonzero(needed))
-                kept = t.select(names).take(at)
-                kept = kept.append_column("found", pa.array(found[needed])).append_column("missing", pa.array(missing[needed].tolist(), pa.list_(pa.float64())))
-                yield from kept.combine_chunks().to_batches()
+            i, j, equal = Cell(t, length, threshold, least).candidates()
+            if not len(i):
+                continue
+            needed = np.zeros(t.num_rows, bool)
+            needed[i] = needed[j] = True
+            link = share[equal] >= threshold
+            ends, equal = np.concatenate([i[link], j[link]]), np.tile(equal[link], 2)
+            found = np.bincount(ends, minlength=t.num_rows)
+            missing = np.stack([np.bincount(ends, more[equal, n], t.num_rows) for n in range(DEPTH)], axis=1)
+            kept = t.select(names).take(pa.array(np.flatnonzero(needed)))
+            kept = kept.append_column("found", pa.array(found[needed])).append_column("missing", pa.array(missing[needed].tolist(), pa.list_(pa.float64())))
+            yield from kept.combine_chunks().to_batches()
 
     return meet
 
@@ -221,7 +228,7 @@ def _common(one: list[np.ndarray], two: list[np.ndarray], same: bool) -> np.ndar
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(every, kind="stable")
     every, row = every[order], row[order]
-    new = np.r_[True, every[1:] != every[:-1]]
+    new = np.concatenate([[True], every[1:] != every[:-1]])
     column = np.cumsum(new) - 1
     held = np.bincount(column)
     keep = held[column] > 1
@@ -229,7 +236,7 @@ def _common(one: list[np.ndarray], two: list[np.ndarray], same: bool) -> np.ndar
     total = np.zeros((len(one), len(one) if same else len(two)), dtype=np.float64)
     if not len(column):
         return total
-    column = np.cumsum(np.r_[0, column[1:] != column[:-1]])
+    column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]]))
     for lo in range(0, int(column[-1]) + 1, 8192):
         a, b = np.searchsorted(column, [lo, lo + 8192])
         dense = np.zeros((len(sets), 8192), dtype=np.float32)
@@ -238,22 +245,27 @@ def _common(one: list[np.ndarray], two: list[np.ndarray], same: bool) -> np.ndar
     return total
 
 
-def _pairwise(cell: Cell, sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each text, its candidates that are links: by matrix products where candidates are many, pair by pair where they are few."""
-    pairs = [(i, fit) for i, fit, _ in cell.candidates()]
+def _links(cell: Cell, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The candidates that are links: by matrix products where candidates are many, pair by pair where they are few."""
+    i, j, _ = cell.candidates()
     sizes = np.array([len(x) for x in sets])
-    if sum(len(fit) for _, fit in pairs) > 4 * len(sets):
+    if len(i) > 4 * len(sets):
         place = np.zeros(len(sets), int)
         place[cell.one] = np.arange(len(cell.one))
         if not cell.same:
             place[cell.two] = np.arange(len(cell.two))
-        every = _common([sets[i] for i in cell.one], [sets[i] for i in cell.two], cell.same)
-        common = lambda i, fit: every[place[i], place[fit]]
+        shared = _common([sets[k] for k in cell.one], [sets[k] for k in cell.two], cell.same)[place[i], place[j]]
     else:
-        common = lambda i, fit: np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in fit], dtype=np.float64)
-    for i, fit in pairs:
-        shared = common(i, fit)
-        yield i, fit[shared >= cell.threshold * (sizes[i] + sizes[fit] - shared) - 1e-9]
+        shared = np.array([_both(sets[a], sets[b]) for a, b in zip(i.tolist(), j.tolist())], dtype=np.float64)
+    link = shared >= cell.threshold * (sizes[i] + sizes[j] - shared) - 1e-9
+    return i[link], j[link]
+
+
+def _both(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets have in common."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int(np.count_nonzero(a[at] == b))
 
 
 def _verify_task(threshold: float, least: int):
@@ -262,19 +274,18 @@ def _verify_task(threshold: float, least: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ("prefix", "tree", "one", "two")):
             cell = Cell(t, len(t.column("prefix")[0].as_py()) // 2, threshold, least)
-            sets = [shingles(word_hashes(x), WORDS) for x in t.column("text").to_pylist()]
+            sets = shingles_of(word_hashes_of(t.column("text").to_pylist()), WORDS)
             copies, names = t.column("copies").to_numpy(), t.column("digest").to_pylist()
-            links, forest = np.zeros(t.num_rows, np.int64), Forest(t.num_rows)
-            for i, fit in _pairwise(cell, sets):
-                links[i] += copies[fit].sum()
-                links[fit] += copies[i]
-                for j in fit:
-                    forest.join(i, int(j))
-            some = np.flatnonzero(links)
-            if len(some):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[i] for i in some], pa.binary()), pa.array([names[forest.root(int(i))] for i in some], pa.binary()), pa.array(links[some])], names=["digest", "root", "links"]
-                )
+            i, j = _links(cell, sets)
+            if not len(i):
+                continue
+            links = np.zeros(t.num_rows, np.int64)
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            some, root = np.flatnonzero(links), roots(t.num_rows, i, j)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[k] for k in some], pa.binary()), pa.array([names[root[k]] for k in some], pa.binary()), pa.array(links[some])], names=["digest", "root", "links"]
+            )
 
     return verify
 
@@ -290,7 +301,8 @@ def in_cells(df: DataFrame, key: list[str], count: Column, block: int) -> DataFr
 
 
 def together(cells: DataFrame, key: list[str]) -> DataFrame:
-    return cells.repartition(*key, "one", "two").sortWithinPartitions(*key, "one", "two", "side", "digest")
+    """The rows of a cell side by side, in all shuffle partitions: the work of cells is far more than their bytes tell."""
+    return cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key, "one", "two").sortWithinPartitions(*key, "one", "two", "side", "digest")
 
 
 def connected(edges: DataFrame, name: str, rows: int, a: str = "a", b: str = "b") -> DataFrame:

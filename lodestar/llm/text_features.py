@@ -10,6 +10,7 @@ import numpy as np
 
 _TOP = 0x32400  # code points from here on count as neither letter nor space
 _CHUNK = 1 << 21  # code points worked on at a time; n-grams and words go on from one chunk to the next
+_TOGETHER = 1 << 17  # code points (or words) of texts that are worked on side by side
 _MIX, _MIX_NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _tables: dict[str, np.ndarray] = {}
 
@@ -142,30 +143,95 @@ def quality_features(text: str, bits: int) -> np.ndarray:
     return np.flatnonzero(seen)
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, in order. Words are runs of letters, marks and digits, in lower case."""
-    t, out = tables(), []
+def _word_tables() -> dict[str, np.ndarray]:
+    t = tables()
     if "word" not in t:
         t["word"] = np.array([unicodedata.category(chr(i))[0] in "LMN" for i in range(_TOP)] + [True])
         t["gap"] = ~t["word"]
-    for c in chunks_at(text, t["gap"]):
-        inside = t["word"][c]
-        starts = np.flatnonzero(inside & np.r_[True, ~inside[:-1]])
-        if not len(starts):
-            continue
-        place = np.arange(len(c)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(c)]))
-        value = np.where(inside, _mixed(t["lower"][c], place + 1), np.uint64(0))
-        out.append(np.add.reduceat(value, starts))
-    h = np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return t
+
+
+def _hashed_words(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start among code points, and their hashes."""
+    t = tables()
+    inside = t["word"][c]
+    starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    c, inside = c[starts[0] :], inside[starts[0] :]
+    near = starts - starts[0]
+    place = np.arange(1, len(c) + 1) - np.repeat(near, np.diff(near, append=len(c)))
+    h = np.add.reduceat(np.where(inside, _mixed(t["lower"][c], place), np.uint64(0)), near)
     h ^= h >> np.uint64(32)
-    return h * _MIX
+    return starts, h * _MIX
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word, in order. Words are runs of letters, marks and digits, in lower case."""
+    out = [_hashed_words(c)[1] for c in chunks_at(text, _word_tables()["gap"])]
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def word_hashes_of(texts: list[str]) -> list[np.ndarray]:
+    """word_hashes of each text; short texts are hashed side by side."""
+    _word_tables()
+    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
+    held: list[int] = []
+
+    def flush() -> None:
+        starts, h = _hashed_words(code_points("\n".join(texts[i] for i in held)))
+        edges = np.cumsum([len(texts[i]) + 1 for i in held])
+        for i, part in zip(held, np.split(h, np.searchsorted(starts, edges[:-1]))):
+            out[i] = part
+        held.clear()
+
+    size = 0
+    for i, text in enumerate(texts):
+        if len(text) > _TOGETHER:
+            out[i] = word_hashes(text)
+            continue
+        held.append(i)
+        size += len(text) + 1
+        if size > _TOGETHER:
+            flush()
+            size = 0
+    if held:
+        flush()
+    return out
+
+
+def _runs(words: np.ndarray, n: int) -> np.ndarray:
+    h = _mixed(*(words[i : len(words) - n + 1 + i] for i in range(n)))
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def shingles(words: np.ndarray, n: int = 5) -> np.ndarray:
     """Distinct hashes of runs of n words, sorted; fewer words than n are one shingle."""
     if not len(words):
         return words
-    n = min(n, len(words))
-    h = _mixed(*(words[i : len(words) - n + 1 + i] for i in range(n)))
-    h ^= h >> np.uint64(31)
-    return np.unique(h)
+    return _distinct(_runs(words, min(n, len(words))))
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
+
+
+def shingles_of(words: list[np.ndarray], n: int = 5) -> list[np.ndarray]:
+    """shingles of each text's words; runs of many texts are hashed side by side."""
+    out, lo = [], 0
+    while lo < len(words):
+        hi, size = lo, 0
+        while hi < len(words) and (hi == lo or size + len(words[hi]) <= _TOGETHER):
+            size += len(words[hi])
+            hi += 1
+        every = np.concatenate(words[lo:hi])
+        runs, at = _runs(every, n) if len(every) >= n else every, 0
+        for w in words[lo:hi]:
+            out.append(_distinct(runs[at : at + len(w) - n + 1]) if len(w) >= n else shingles(w, n))
+            at += len(w)
+        lo = hi
+    return out

@@ -775,3 +775,25 @@ def test_word_hashes_tell_swapped_letters_apart():
     r, seen = random.Random(6), {}
     for w in {"".join(r.choice("abcdefw012345") for _ in range(r.randint(2, 6))) for _ in range(20_000)}:
         assert seen.setdefault(int(text_features.word_hashes(w)[0]), w) == w
+
+
+def test_texts_side_by_side_are_hashed_as_alone(monkeypatch):
+    texts = ["", "one two three four five six", "a", "\n\n", "Naïve — Ünïcode 12 34 x", "end", "start " * 40, " \t ", "one two three four five six"]
+    for together in (1, 30, 1 << 17):
+        monkeypatch.setattr(text_features, "_TOGETHER", together)
+        words = text_features.word_hashes_of(texts)
+        assert [w.tolist() for w in words] == [text_features.word_hashes(t).tolist() for t in texts]
+        assert [s.tolist() for s in text_features.shingles_of(words)] == [text_features.shingles(w).tolist() for w in words]
+    assert text_features.word_hashes_of([]) == text_features.shingles_of([]) == []
+
+
+def test_roots_of_links():
+    rng = random.Random(3)
+    for n in (1, 2, 9, 60):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(n // 2)] + [(k, k + 1) for k in range(n // 3)]
+        want = list(range(n))
+        for _ in range(n):
+            for a, b in pairs:
+                want[a] = want[b] = min(want[a], want[b])
+        got = near_join.roots(n, np.array([a for a, _ in pairs], int), np.array([b for _, b in pairs], int))
+        assert got.tolist() == want

@@ -8,7 +8,9 @@ compacted into one run of the next, with more shards as it grows; compaction add
 text, the smallest identifier.
 
 Rows whose digest is held by two or more are then compared byte for byte, in salted blocks, so that a digest collision
-never joins different texts and a large group is no single task.
+never joins different texts and a large group is no single task. Their texts are moved for that; a Bloom filter of those
+digests, of bounded size, is sent to the rows and keeps nearly all other texts where they are. Its false positives are
+taken out by the join that follows: a filter that is too full for its keys costs moves, never rows.
 
 Defined results: a null text equals the empty text; a null id sorts after every id; rows that repeat
 the same id and text count one by one in ``group_size`` and exactly one of them is kept; an empty table
@@ -33,6 +35,9 @@ MEMTABLE_ENTRIES = 100_000  # entries of a map task's memtable before it is flus
 SHARD_ROWS = 200_000  # keys a shard of a run is planned for
 LEVEL_RUNS = 4  # runs of a level before they are compacted into one
 VERIFY_BLOCK = 256  # rows of one digest that are byte-verified in one salted block
+FILTER_WORDS = 8  # 64-bit words in a block of the filter that is sent to the rows; each key sets a bit of each
+FILTER_KEYS = 32  # keys that one of its blocks is planned for: 0.06 % of other keys pass
+FILTER_BLOCKS = 1 << 18  # its blocks at most, 17 MB of bits: beyond 8 million keys more of the others pass
 
 ENTRY_SCHEMA = "shard int, digest binary, n long, longest long, keep_id long"
 RUN_SCHEMA = f"kind string, {ENTRY_SCHEMA}, filter binary"
@@ -243,6 +248,22 @@ def folded(parts: list[DataFrame]) -> DataFrame:
     return every.select("digest", "n", (-F.col("best.shorter")).alias("longest"), "best.keep_id")
 
 
+def _filter_places(digest: Column, blocks: int) -> tuple[Column, list[Column]]:
+    """A digest's block of the filter, and its bit in each of the block's words."""
+    spread = F.xxhash64(digest, F.lit(1))
+    return F.pmod(F.xxhash64(digest), F.lit(blocks)), [F.shiftright(spread, 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(FILTER_WORDS)]
+
+
+def may_hold(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose digest is in keys (digest), and a few others. Only a filter of the keys moves, of bounded size, not the rows."""
+    blocks = max(1, min(FILTER_BLOCKS, -(-keys.count() // FILTER_KEYS)))
+    block, bits = _filter_places(F.col("digest"), blocks)
+    words = [F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias(f"word{i}") for i, bit in enumerate(bits)]
+    held = keys.groupBy(block.alias("block")).agg(*words)
+    every = reduce(Column.__and__, (F.getbit(f"word{i}", bit) == 1 for i, bit in enumerate(bits)))
+    return rows.withColumn("block", block).join(F.broadcast(held), "block").where(every).select(*rows.columns)
+
+
 def _verify_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (digest, salt, norm, salts, ...) sorted by the first two: number the different texts of each block. The first row of a text carries it."""
     at, seen = None, {}
@@ -297,7 +318,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     single = narrow.join(several, "digest", "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", *key)
 
     salt = F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")
-    hits = rows.join(several, "digest").select("digest", salt.alias("salt"), "norm", "salts", "id", "n_points", "sha", "row", *key)
+    hits = may_hold(rows, several).join(several, "digest").select("digest", salt.alias("salt"), "norm", "salts", "id", "n_points", "sha", "row", *key)
     checked_schema = "digest binary, salt int, salts int, local int, leader string, id long, n_points long, sha binary, row long" + "".join(f", row_key {rows.schema['row_key'].dataType.simpleString()}" for _ in key)
     checked = materialize(hits.repartition("digest", "salt").sortWithinPartitions("digest", "salt").mapInArrow(_verify_task, checked_schema), "verified", n_rows)
     leaders = checked.where(F.col("leader").isNotNull()).select("digest", "salt", "local", "leader")

@@ -88,6 +88,49 @@ def test_exact_dedup_salted_blocks(spark, monkeypatch):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_exact([r[:2] for r in rows])
 
 
+def shuffled_bytes(spark):
+    """Bytes that all finished stages have written for a shuffle so far."""
+    context, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+    context.listenerBus().waitUntilEmpty()
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = context.statusStore().stageList(None, False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_exact_dedup_moves_few_texts(spark, tmp_path):
+    """Where the groups are too many to broadcast, texts without a copy stay where they are."""
+    r = random.Random(9)
+    texts = ["%x" % r.getrandbits(80_000) for _ in range(300)]  # 20,000 characters each
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([*texts, *texts[:6]])]
+    spark.createDataFrame(rows, DOCS).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_bytes(spark)
+        got = exact_dedup.op10_exact_dedup(spark, str(tmp_path)).collect()
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert sorted(map(tuple, got), key=repr) == brute_exact([r[:2] for r in rows])
+    assert moved < 1_500_000 < sum(map(len, texts)) / 3
+
+
+@pytest.mark.parametrize("most_blocks", [1, 1 << 18])
+def test_exact_dedup_filter_loses_no_key(spark, monkeypatch, most_blocks):
+    """A filter with room passes hardly any other key; one that is too full passes them all, and the result is the same."""
+    monkeypatch.setattr(exact_dedup, "FILTER_BLOCKS", most_blocks)
+    digests = [hashlib.sha256(b"%d" % i).digest() for i in range(6000)]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(digests)], "id long, digest binary")
+    passed = exact_dedup.may_hold(rows, rows.where("id < 2000").select("digest"))
+    assert passed.columns == rows.columns
+    got = [r.id for r in passed.collect()]
+    assert len(got) == len(set(got)) and set(range(2000)) <= set(got)
+    assert len(got) == 6000 if most_blocks == 1 else len(got) < 2050
+    docs = [(i, f"text {i % 700}" + " " * (i % 3), "en", "s", 0) for i in range(900)]
+    result = exact_dedup.exact_dedup(spark.createDataFrame(docs, DOCS), digest_bytes=2)
+    assert sorted(map(tuple, result.collect()), key=repr) == brute_exact([r[:2] for r in docs])
+
+
 def test_exact_dedup_empty_and_extra_columns(nothing, clashing):
     assert exact_dedup.exact_dedup(nothing).collect() == []
     assert exact_dedup.exact_dedup(clashing).columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]

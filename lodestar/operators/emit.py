@@ -164,7 +164,7 @@ class Emitter:
         for first, windows in shared.items():
             text = bool(windows[0].order) and windows[0].order[0][0].type != INT64
             key = any_order(source) if first is None else number_of(F.col(first) if windows[0].order else self._flat(frame.df, first), text)
-            parts = [(w, names[w], self._order(frame, w), None if w.argument is None else F.col(frame.physical(w.argument))) for w in windows]
+            parts = [(w, names[w], self._order(frame, w), None if w.argument is None else F.col(frame.physical(w.argument)), [F.col(frame.physical(k)) for k, _ in w.order]) for w in windows]
             frame = frame.with_df(running(frame.df, source, parts, key))
         done = {w for windows in shared.values() for w in windows}
         whole = [w for w in node.windows if self._over_everything(frame, w)]
@@ -284,7 +284,7 @@ class Emitter:
             key = number_of(F.col(first), keys[0][0].type != INT64)
         else:
             down, key = False, self._flat(frame.df, frame.ords[0]) if frame.ords else any_order(frame.df)
-        return running(frame.df, frame.df, [(_Place(((None, down),)), name, order, None)], key)
+        return running(frame.df, frame.df, [(_Place(((None, down),)), name, order, None, [])], key)
 
     # --- predicates
 

@@ -2,8 +2,9 @@
 
 Rows are dealt to buckets by the first order key: bucket numbers rise with the key and depend on approximate quantiles
 of all keys, so that buckets are of like size whatever the keys are, and rows of equal keys share one. Each bucket is
-worked out apart; what the buckets before it hold (one row for each bucket) is added. A string counts by its first
-bytes. Where there is no order at all, any order will do: rows are then dealt by a hash of their values.
+worked out apart; what the buckets before it hold (one row for each bucket, counted from the rows that came in, so that
+no other window is worked out again for it) is added. A string counts by its first bytes. Where there is no order at
+all, any order will do: rows are then dealt by a hash of their values.
 """
 
 from __future__ import annotations
@@ -37,13 +38,15 @@ def bucketed(df: DataFrame, source: DataFrame, key: Column, name: str) -> DataFr
     cuts = source.agg(F.percentile_approx(key, [i / BUCKETS for i in range(1, BUCKETS)], 20 * BUCKETS).alias(bounds))  # one row
     steps = [1 << i for i in reversed(range(BUCKETS.bit_length() - 1))]
     below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(F.col(bounds), at + step - 1) < key, at + step).otherwise(at))  # binary search
-    return df.crossJoin(F.broadcast(cuts)).withColumn(name, F.when(key.isNull(), F.lit(BUCKETS)).otherwise(below)).drop(bounds)
+    return df.crossJoin(F.broadcast(cuts)).withColumn(name, F.when(key.isNull(), F.lit(BUCKETS)).otherwise(F.coalesce(below, F.lit(0)))).drop(bounds)  # never NULL: a join needn't test it, which would search twice
 
 
 def running(df: DataFrame, source: DataFrame, windows: list[tuple], key: Column) -> DataFrame:
     """df with the values of windows that all have key as their first order key, in either direction.
 
-    windows: (window, column for its values, all its order keys, its argument); source: where key comes from.
+    windows: (window, column for its values, all its order keys, its argument, the order keys' columns); source: the same
+    rows before other windows were added, from which buckets and what they hold are counted. Taking these from df would
+    work out each window before this one twice, and so double the work with each further order.
     """
     bucket, own = fresh(), fresh()
     dealt = bucketed(df, source, key, bucket)
@@ -51,14 +54,14 @@ def running(df: DataFrame, source: DataFrame, windows: list[tuple], key: Column)
     earlier = {down: Window.orderBy(F.desc(own) if down else F.asc(own)).rowsBetween(Window.unboundedPreceding, -1) for down in (False, True)}
     steps: dict[str, tuple] = {}  # column: (what a bucket adds to those behind it, those before it put together)
     used: list[list[str]] = []
-    for w, _, order, v in windows:
+    for w, _, order, v, by in windows:
         over = Window.partitionBy(bucket).orderBy(*(order or [F.lit(1)]))
         frame = (over.rowsBetween if w.frame == "ROWS" else over.rangeBetween)(Window.unboundedPreceding, Window.currentRow)
         counted = F.lit(1) if v is None else v
         if w.function in ("ROW_NUMBER", "RANK", "DENSE_RANK"):
             call = {"ROW_NUMBER": F.row_number, "RANK": F.rank, "DENSE_RANK": F.dense_rank}[w.function]
             local = fresh()
-            own_steps = {local: (call().over(over).cast("bigint"), F.max(local) if w.function == "DENSE_RANK" else F.count(F.lit(1)), F.sum)}
+            own_steps = {local: (call().over(over).cast("bigint"), F.count_distinct(F.struct(*by)) if w.function == "DENSE_RANK" else F.count(F.lit(1)), F.sum)}
         elif w.function == "COUNT":
             own_steps = {fresh(): (F.count(counted).over(frame), F.count(counted), F.sum)}
         elif w.function == "SUM":
@@ -70,11 +73,11 @@ def running(df: DataFrame, source: DataFrame, windows: list[tuple], key: Column)
             dealt = dealt.withColumn(column, value)
             steps[column] = held, together(column).over(earlier[bool(w.order) and w.order[0][1]])
         used.append(list(own_steps))
-    sizes = dealt.groupBy(F.col(bucket).alias(own)).agg(*(held.alias(column) for column, (held, _) in steps.items()))
+    sizes = bucketed(source, source, key, own).groupBy(own).agg(*(held.alias(column) for column, (held, _) in steps.items()))
     before = {column: fresh() for column in steps}
     offsets = sizes.select(own, *(sofar.alias(before[column]) for column, (_, sofar) in steps.items()))
     joined = dealt.join(F.broadcast(offsets), F.col(bucket) == F.col(own))
-    for (w, name, _, _), columns in zip(windows, used):
+    for (w, name, *_), columns in zip(windows, used):
         here, there = [F.col(c) for c in columns], [F.col(before[c]) for c in columns]
         if w.function == "SUM":
             out = whole(*(_plus(a, b) for a, b in zip(here, there)), w.name)

@@ -59,3 +59,9 @@ def test_no_task_holds_all_rows(tables, name):
     assert "hashpartitioning(__" in plan or "Window" in plan
     for part in plan.split("Exchange SinglePartition")[1:]:
         assert "HashAggregate" in part.split("\n")[1] or "ObjectHashAggregate" in part.split("\n")[1] or "Aggregate" in part.split("\n")[1], part[:300]
+
+
+def test_windows_of_further_orders_are_added_once(tables):
+    """What an order's buckets hold is counted from the rows that came in: the work is not doubled by each further order."""
+    plan = tables.explain(DEFINED["win_three_orders"][0]).split("chosen plan:")[1]
+    assert plan.count("BroadcastHashJoin") == 3 and plan.count("BroadcastNestedLoopJoin") == 6
